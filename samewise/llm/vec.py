@@ -25,6 +25,11 @@ SLICE_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: For texts in which punctuation is noise: every ASCII byte but letters and digits parts words.
+PUNCTUATION = np.ones(256, dtype=bool)
+PUNCTUATION[128:] = False
+for _first, _last in ("09", "AZ", "az"):
+    PUNCTUATION[ord(_first) : ord(_last) + 1] = False
 _LOWER = np.arange(1, 257, dtype=np.uint64)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -87,12 +92,12 @@ class Slice:
         return np.searchsorted(self.doc, np.arange(self.last - self.first + 1))
 
 
-def _tokens(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _tokens(raw: np.ndarray, cuts: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, begin and end of the words in raw; a word ends at a cut too."""
     n = len(raw)
     if n == 0:
         return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    inside = ~_SPACE[raw]
+    inside = ~space[raw]
     before = np.empty(n, dtype=bool)
     before[0] = False
     before[1:] = inside[:-1]
@@ -111,24 +116,24 @@ def _tokens(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return words, begin, end
 
 
-def _long(raw: np.ndarray, part: int = 4 * SLICE_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _long(raw: np.ndarray, space: np.ndarray, part: int = 4 * SLICE_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """As _tokens for one very long text, in parts cut at white space."""
     found, at = [], 0
     while at < len(raw):
         stop = min(len(raw), at + part)
         while stop < len(raw):
-            gaps = np.flatnonzero(_SPACE[raw[at:stop]])
+            gaps = np.flatnonzero(space[raw[at:stop]])
             if len(gaps):
                 stop = at + int(gaps[-1]) + 1
                 break
             stop = min(len(raw), stop + part)
-        words, begin, end = _tokens(raw[at:stop], np.zeros(1, np.int64))
+        words, begin, end = _tokens(raw[at:stop], np.zeros(1, np.int64), space)
         found.append((words, begin + at, end + at))
         at = stop
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else _tokens(raw, np.zeros(1, np.int64))
 
 
-def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
+def slices(column: pa.Array, limit: int = SLICE_BYTES, space: np.ndarray = _SPACE) -> Iterator[Slice]:
     """The tokens of a text column, slice by slice."""
     raw, offsets = buffers(column)
     rows, first = len(offsets) - 1, 0
@@ -137,7 +142,7 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
         last = min(last, rows)
         part = raw[offsets[first] : offsets[last]]
         starts = offsets[first:last] - offsets[first]
-        words, begin, end = _tokens(part, starts) if len(part) <= 4 * SLICE_BYTES else _long(part)
+        words, begin, end = _tokens(part, starts, space) if len(part) <= 4 * SLICE_BYTES else _long(part, space)
         doc = np.searchsorted(starts, begin, side="right") - 1
         yield Slice(first, last, words, doc, begin, end, int(offsets[first]))
         first = last
@@ -182,3 +187,25 @@ def distinct(doc: np.ndarray, h: np.ndarray, rows: int) -> tuple[np.ndarray, np.
     bounds = np.concatenate([[0], np.cumsum(sizes)])
     flat = np.concatenate(sets) if sets else np.zeros(0, U64)
     return np.repeat(np.arange(rows), sizes), flat, bounds
+
+
+class Index:
+    """Where each of a bounded set of hashes occurs: a bitmap to skip the rest, then a sorted list."""
+
+    def __init__(self, keys: np.ndarray, *values: np.ndarray):
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.values = keys[order], [v[order] for v in values]
+        bits = max(12, int(16 * max(1, len(keys))).bit_length())
+        self.shift = U64(64 - bits)
+        self.bitmap = np.zeros(1 << bits, dtype=bool)
+        self.bitmap[self.keys >> self.shift] = True
+
+    def hits(self, h: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(positions in h, values at them), one row for each occurrence of the key."""
+        at = np.flatnonzero(self.bitmap[h >> self.shift])
+        low = np.searchsorted(self.keys, h[at], side="left")
+        n = np.searchsorted(self.keys, h[at], side="right") - low
+        some = n > 0
+        at, low, n = at[some], low[some], n[some]
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(at, n), [v[np.repeat(low, n) + inner] for v in self.values]
