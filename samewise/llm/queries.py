@@ -7,10 +7,20 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import contaminated
 from .fingerprints import fingerprints
 from .licenses import license_scan
+from . import line_dedup
 from .near_dedup import near_duplicates
+from .sharding import shard
 from .tables import table
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(table(spark, sf_dir, "documents"), 24)
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_report(table(spark, sf_dir, "documents"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -32,4 +42,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_line_dedup": line_dedup.ORACLE}
