@@ -11,9 +11,9 @@ smallest id.  Representatives are banded; b bands of r slots are chosen so that
 a pair exactly at the threshold is missed with a probability of at most
 ``MISS``.  In every bucket all members are first compared with one centre, the
 member whose buckets are largest; what is joined so is contracted.  Then all
-pairs of a bucket that still lie in different components are compared, in blocks
-of bounded size, first by signature (a bound ``SIGMAS`` deviations below the
-threshold) and then by full sets.  No link between different texts is left out
+pairs of a bucket that still lie in different components are compared within
+blocks of bounded size, first by signature (a bound ``SIGMAS`` deviations below
+the threshold) and then by full sets.  No link between different texts is left out
 but by those two stated probabilities, and no bucket is ever expanded into all
 its pairs.  Links are confirmed on the full shingle sets, read from the texts.
 """
@@ -33,7 +33,8 @@ from .tables import written
 
 MISS = 1e-6
 SIGMAS = 6
-BLOCK = 1024
+#: Shingles held by a block of a bucket's members; a task holds two blocks.
+BLOCK = 1 << 19
 U64 = np.uint64
 GOLD = U64(0x9E3779B97F4A7C15)
 _LAZY = 6
@@ -137,18 +138,36 @@ def _verifier(k: int, num: int, den: int):
     return verify
 
 
+def _sets(k: int):
+    def make(batches):
+        for batch in batches:
+            for s in vec.slices(batch.column(1)):
+                _, h, bounds = vec.distinct(*vec.shingles(s, k), s.last - s.first)
+                held = [h[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, s.last - s.first), pa.array(held, pa.binary())], names=["id", "shingles"])
+
+    return make
+
+
 def _blocks(threshold: float, m: int, num: int, den: int):
-    """Pairs within a block, or between two, that may be linked and lie in different components."""
+    """Links within a block, or between two, of members that lie in different components.
+
+    A pair is looked at in the first bucket that it shares.  What is linked here is
+    one component from then on, so few more links are found than needed.
+    """
     cut = m * (threshold - SIGMAS * sqrt(threshold * (1 - threshold) / m))
 
     def emit(batches):
         for t in grouped(batches, 3):
             if len(t) < 2:
                 continue
-            ids, n, comp = (t.column(c).to_numpy() for c in ("id", "n", "comp"))
-            own = t.column("block").to_numpy()
-            x, y = t.column("bi")[0].as_py(), t.column("bj")[0].as_py()
+            ids, n, comp, own = (t.column(c).to_numpy() for c in ("id", "n", "comp", "block"))
+            comp = np.unique(comp, return_inverse=True)[1]
+            bucket, x, y = (t.column(c)[0].as_py() for c in ("bucket", "bi", "bj"))
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint8).reshape(len(t), m)
+            bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(len(t), -1)
+            band = int(np.flatnonzero(bands[0] == bucket)[0])
+            sets = [np.frombuffer(v, dtype=U64) for v in t.column("shingles").to_pylist()]
             left, right = [], []
             for i in np.flatnonzero(own == x):
                 ok = (comp != comp[i]) & (den * np.minimum(n, n[i]) >= num * np.maximum(n, n[i])) & (own == y)
@@ -156,11 +175,16 @@ def _blocks(threshold: float, m: int, num: int, den: int):
                     ok[: i + 1] = False
                 ok = np.flatnonzero(ok)
                 ok = ok[(sig[ok] == sig[i]).sum(axis=1) >= cut]
-                left += [ids[i]] * len(ok)
-                right += ids[ok].tolist()
+                ok = ok[(bands[ok] == bands[i]).argmax(axis=1) == band]
+                for j in ok:
+                    if comp[i] != comp[j]:
+                        both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                        if den * both >= num * (int(n[i]) + int(n[j]) - both):
+                            comp[comp == comp[j]] = comp[i]
+                            left.append(ids[i])
+                            right.append(ids[j])
             if left:
-                a, b = np.array(left), np.array(right)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
     return emit
 
@@ -189,32 +213,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = shared.select(F.col("rep").alias("id")).distinct()
     texts = written(base.join(wanted, "id", "left_semi"), "texts")
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        found = pairs.join(texts.withColumnRenamed("id", "b").withColumnRenamed("text", "text_b"), "b").join(
-            texts.withColumnRenamed("id", "a").withColumnRenamed("text", "text_a"), "a"
-        )
-        return written(found.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(k, num, den), "a long, b long"), name)
-
     degree = shared.groupBy("rep").agg(F.sum("members").alias("degree"))
     ranked = shared.join(degree, "rep")
     centre = ranked.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("rep")).alias("least"), "n")).alias("c"))
     centre = centre.select("bucket", (-F.col("c.least")).alias("centre"), F.col("c.n").alias("centre_n"))
     near = F.least("n", "centre_n") * den >= F.greatest("n", "centre_n") * num
     spokes = shared.join(centre, "bucket").where((F.col("rep") != F.col("centre")) & near)
-    first = verified(spokes.select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "spokes")
+    pairs = spokes.select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
+    both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    first = written(both.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(k, num, den), "a long, b long"), "spokes")
 
     some = components(first, "a", "b")
     placed = shared.join(some.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket")
-    left = placed.join(mixed, "bucket").join(classes.select("rep", "n", "sig"), ["rep", "n"])
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    left = left.withColumn("blocks", blocks).withColumn("block", block)
+    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.sum("n").alias("held")).where("low <> high")
+    blocks = F.ceil(F.col("held") / BLOCK).cast("int")
+    left = written(placed.join(mixed.select("bucket", blocks.alias("blocks")), "bucket").select("bucket", "rep", "n", "comp", "blocks"), "left")
+    open_reps = left.select(F.col("rep").alias("id")).distinct()
+    sets = texts.join(open_reps, "id", "left_semi").select("id", "text").mapInArrow(_sets(k), "id long, shingles binary")
+    sets = sets.join(classes.select(F.col("rep").alias("id"), F.col("n").alias("set_n"), "sig", "bands"), "id").where(F.length("shingles") == 8 * F.col("set_n")).withColumnRenamed("id", "rep")
+    left = left.join(sets, "rep").where("n = set_n").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.select("bucket", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), F.col("rep").alias("id"), "n", "comp", "block", "sig")
+    left = left.select("bucket", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), F.col("rep").alias("id"), "n", "comp", "block", "sig", "bands", "shingles")
     left = left.repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
-    more = left.mapInArrow(_blocks(threshold, bands * rows, num, den), "a long, b long").distinct()
-    second = verified(more, "rest")
+    second = written(left.mapInArrow(_blocks(threshold, bands * rows, num, den), "a long, b long"), "rest")
 
     whole = components(first.union(second), "a", "b").withColumnRenamed("node", "rep")
     groups = classes.select("set_a", "set_b", "n", "rep").join(whole, "rep", "left").select("set_a", "set_b", "n", F.coalesce("component", "rep").alias("group"))
