@@ -9,6 +9,7 @@ from .fingerprints import fingerprints
 from .licenses import license_scan
 from . import line_dedup
 from .near_dedup import near_duplicates
+from .quality import quality
 from .sharding import shard
 from .tables import table
 from .toxicity import toxicity
@@ -42,6 +43,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
