@@ -245,6 +245,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs without the rows whose group has a smaller id; of rows with one id and one text, one stays."""
+    """docs without the rows whose group has a smaller id; rows that share a kept id all stay."""
     groups = near_duplicates(docs, id_col, **options).where("kept").select(F.col(id_col).alias("kept_id")).distinct()
     return docs.join(groups, F.col(id_col).eqNullSafe(F.col("kept_id")), "left_semi")

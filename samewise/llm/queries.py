@@ -11,6 +11,7 @@ from .licenses import license_scan
 from . import line_dedup
 from .near_dedup import near_duplicates
 from .quality import quality
+from .sentencepiece import encode
 from .sharding import shard
 from .tables import table
 from .toxicity import toxicity
@@ -44,6 +45,10 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, num=85, den=100)
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
