@@ -9,11 +9,12 @@ from samewise.llm.line_dedup import without_repeated_lines
 from samewise.llm.near_dedup import keep_one
 from samewise.llm.quality import accepted
 from samewise.llm.sentencepiece import encode
-from samewise.llm.tables import table, written
+from samewise.llm.tables import small_batches, table, written
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the weak-label classifier accepts."""
+    small_batches(spark)
     return accepted(docs)
 
 
@@ -24,16 +25,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every near-duplicate group: five-word shingles, a likeness of 0.8 or more."""
+    small_batches(spark)
     return keep_one(docs, k=5, num=80, den=100)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that leak no benchmark item."""
+    small_batches(spark)
     return without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document, and whether they decode to its text."""
+    small_batches(spark)
     return encode(docs)
 
 

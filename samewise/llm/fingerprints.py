@@ -94,7 +94,7 @@ def _sketch(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def sketches(texts: list[bytes]) -> np.ndarray:
-    """Components of every text, worked off in slices of about a megabyte."""
+    """Components of every text, worked off in slices."""
     sizes = np.array([len(x) for x in texts], dtype=np.int64)
     out, i = [np.zeros((0, SIZE), dtype=np.uint16)], 0
     while i < len(texts):

@@ -30,7 +30,7 @@ from . import vec
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 150_000
 LONG = 48
 _NONE = np.int32(np.iinfo(np.int32).max)
 
@@ -68,10 +68,15 @@ class Pieces:
 
 @dataclass
 class Encoder:
-    """Encodes words through their lattices and keeps up to KNOWN_WORDS of them."""
+    """Encodes words through their lattices.
+
+    Words seen in two batches are kept, up to KNOWN_WORDS; words seen in one wait
+    in a second, equally bounded table for their next time.
+    """
 
     pieces: Pieces
     known: dict[str, bytes] = field(default_factory=dict)
+    once: dict[str, bytes] = field(default_factory=dict)
 
     def __post_init__(self):
         p = self.pieces
@@ -235,13 +240,22 @@ class Encoder:
         for t in texts:
             t = (t or "").replace(" ", MARK)
             cut.append(self.words.findall(MARK + t if self.pieces.prefix else t) if t else [])
-        new = set().union(*cut).difference(self.known) if cut else set()
-        if len(self.known) + len(new) > KNOWN_WORDS:
+        missing = set().union(*cut).difference(self.known)
+        if len(self.known) + len(missing) > 2 * KNOWN_WORDS:
             self.known.clear()
-            new = set().union(*cut)
-        self.known.update(self.learn(new))
+            missing = set().union(*cut)
+        again = missing.intersection(self.once)
         known = self.known
-        return [b"".join([known[w] for w in words]) for words in cut]
+        known.update((w, self.once.pop(w)) for w in again)
+        learnt = self.learn(missing.difference(again))
+        known.update(learnt)
+        out = [b"".join([known[w] for w in words]) for words in cut]
+        for w in learnt:
+            del known[w]
+        if len(self.once) + len(learnt) > KNOWN_WORDS:
+            self.once.clear()
+        self.once.update(learnt)
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become replacement characters."""

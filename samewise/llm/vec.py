@@ -5,7 +5,7 @@ A-Z are single bytes in UTF-8, so everything here works on raw bytes without
 decoding.  A word's hash is a polynomial over its bytes modulo 2**64 followed
 by a bit mix; a shingle's hash is a polynomial over its words' hashes.
 
-Work is done on slices of about one megabyte, so the memory needed beside an
+Work is done on slices of about a quarter of a megabyte, so the memory needed beside an
 Arrow batch is a small multiple of the slice or of the longest text.
 """
 
@@ -21,7 +21,7 @@ U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INV = pow(BASE, -1, 1 << 64)
 STEP = 0xD6E8FEB86659FD93
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
