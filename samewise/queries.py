@@ -1,9 +1,609 @@
-"""Registry of the engine's queries and their SQL."""
+"""The engine's queries over the star schema, each with SQL that must give the same rows.
 
+Queries use the operators of the package; the SQL says the same in plain terms.
+"""
 
-def queries() -> dict:
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql() -> dict:
-    return {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import attributes as at
+from .functions import lexicon as lx
+from .functions import text as tx
+from .operators import candidates, cluster, compare, decisions, evaluate, figures, report, reviewer
+from .operators.components import components
+from .plans import analysis, catalogue, workspace
+from .sources.sinks import added_columns
+
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_sql)
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+CATALOGUE = """
+catalogue as (
+    select p_partkey as row, cast(p_partkey as varchar) as code, p_name || ' M' || cast(p_size % 17 + 3 as varchar) || ' ' || lower(p_type) as name,
+        lower(p_brand) as brand, stock, p_retailprice as unit_cost, p_name, p_type, p_size % 17 + 3 as size
+    from part left join (select l_partkey, sum(l_quantity) as stock from lineitem group by l_partkey) on p_partkey = l_partkey
+)"""
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogue_groups(spark, sf_dir)
+
+
+# ------------------------------------------------------------------ sources and projections
+
+
+@query(f"with {CATALOGUE} select row, code, name, brand, stock, unit_cost from catalogue")
+def derived_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogue.derived(spark, sf_dir)
+
+
+@query("select event_id, json_extract_string(props, '$.k') as k, event_type, coalesce(cast(json_extract(props, '$.k') as bigint), 0) as k_number from events")
+def json_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k")
+    return read(spark, sf_dir, "events").select("event_id", k.alias("k"), "event_type", F.coalesce(k.try_cast("bigint"), F.lit(0)).alias("k_number"))
+
+
+@query("select c_custkey, c_name, n_name from customer left join nation on c_nationkey = n_nationkey and n_regionkey = 1")
+def left_with_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = read(spark, sf_dir, "nation").where("n_regionkey = 1")
+    return read(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", "c_name", "n_name")
+
+
+@query("select c_custkey, c_name, c_acctbal from customer where c_nationkey = 7")
+def tenant_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return workspace.visible(read(spark, sf_dir, "customer"), "7", "c_nationkey").select("c_custkey", "c_name", "c_acctbal")
+
+
+@query("select c_custkey as user_id, c_name from customer where c_custkey in (select o_custkey from orders where o_orderstatus = 'F')")
+def visible_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), "c_name")
+    return workspace.visible_users(users, read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderstatus").alias("org_id")), "F")
+
+
+# ------------------------------------------------------------------ text and attributes
+
+
+@query("select distinct name, trim(regexp_replace(regexp_replace(lower(name), '[^a-z0-9.]+', ' ', 'g'), ' +', ' ', 'g')) as text from (select p_name || '--' || p_type || '  ' || p_brand as name from part)")
+def normalise_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat("p_name", F.lit("--"), "p_type", F.lit("  "), "p_brand")
+    return read(spark, sf_dir, "part").select(name.alias("name")).distinct().select("name", tx.normalise_text(F.col("name")).alias("text"))
+
+
+@query("select doc_id, case when length(regexp_replace(text, '[^a-zA-Z]', '', 'g')) >= 0 then 'latin' end as script, length(regexp_replace(text, '[^a-zA-Z]', '', 'g')) as letters from documents")
+def script_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", tx.script_of(F.col("text")).alias("script"), F.regexp_count("text", F.lit("[a-zA-Z]")).cast("long").alias("letters"))
+
+
+_AMOUNTS = "case p_partkey % 6 when 0 then '£' || p_retailprice when 1 then '(' || p_size || '.50)' when 2 then p_size || ',25' when 3 then '1,' || (p_partkey % 900 + 100) || '.5' when 4 then p_size || ' EUR' else 'n/a' end"
+_AMOUNT_NUMBER = "case p_partkey % 6 when 0 then p_retailprice when 1 then -(p_size + 0.5) when 2 then p_size + 0.25 when 3 then 1000 + p_partkey % 900 + 100 + 0.5 when 4 then p_size end"
+
+
+@query(f"select p_partkey, cast({_AMOUNT_NUMBER} as double) as number, case p_partkey % 6 when 0 then 'GBP' when 4 then 'EUR' end as currency, p_partkey % 6 <> 5 as ok from part")
+def parse_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = read(spark, sf_dir, "part").withColumn("n", at.parse_number(F.expr(_AMOUNTS)))
+    return part.select("p_partkey", "n.number", "n.currency", "n.ok")
+
+
+_PACK_TEXT = "case p_partkey % 5 when 0 then 'box of ' || p_size when 1 then p_size || '/pk' when 2 then p_size || ' pcs' when 3 then 'pack 1' else p_name end"
+
+
+@query("select p_partkey, case when p_partkey % 5 <= 2 and p_size > 1 then p_size end as pack from part")
+def parse_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "part").select("p_partkey", at.parse_pack(tx.fold(F.expr(_PACK_TEXT))).alias("pack"))
+
+
+@query(
+    "select p_partkey, 'm' || p_size as thread, cast(p_size + 5 as double) as length_mm, cast(p_size % 9 + 1 as double) * 1000 as power_w, cast(230 as double) as voltage_v, cast(p_size % 4 + 1 as integer) as poles, "
+    "cast(p_size as double) * 1000 as mass_g from part"
+)
+def parse_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit("m"), F.col("p_size").cast("string"), F.lit(" x "), (F.col("p_size") + 5).cast("string"), F.lit(" kit "), (F.col("p_size") % 9 + 1).cast("string"), F.lit("kw 230v "), (F.col("p_size") % 4 + 1).cast("string"), F.lit("p "), F.col("p_size").cast("string"), F.lit(" kg"))
+    df = at.with_measures(read(spark, sf_dir, "part").select("p_partkey", text.alias("t")), "t")
+    first = lambda k: F.get(f"dims.{k}", F.lit(0)).alias(k)
+    return df.select("p_partkey", "dims.thread", first("length_mm"), first("power_w"), first("voltage_v"), "dims.poles", first("mass_g"))
+
+
+@query(
+    "with p as (select p_partkey, 'h' || (p_partkey * 7 + p_size) as a, case p_partkey % 3 when 0 then cast(p_partkey * 7 + p_size as varchar) when 1 then 'v' || (p_partkey * 7 + p_size) else 'h' || (p_partkey * 7 + p_size + 1) end as b from part) "
+    "select p_partkey, a = b or (regexp_replace(a, '^[a-z]', '') = regexp_replace(b, '^[a-z]', '') and length(regexp_replace(a, '[^0-9]', '', 'g')) >= 3) as same from p"
+)
+def same_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("p_partkey") * 7 + F.col("p_size")
+    other = F.when(F.col("p_partkey") % 3 == 0, n.cast("string")).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("v"), n.cast("string"))).otherwise(F.concat(F.lit("h"), (n + 1).cast("string")))
+    return read(spark, sf_dir, "part").select("p_partkey", tx.same_part(F.concat(F.lit("h"), n.cast("string")), other).alias("same"))
+
+
+_ALIASES = {"brand1": "alpha", "brand2": "alpha", "brand12": "beta"}
+
+
+@query("select p_partkey, case replace(lower(p_brand), '#', '') when 'brand1' then 'alpha' when 'brand2' then 'alpha' when 'brand12' then 'beta' else replace(lower(p_brand), '#', '') end as brand from part")
+def brand_alias_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aliases = spark.createDataFrame(list(_ALIASES.items()), "key string, alias string")
+    keyed = read(spark, sf_dir, "part").select("p_partkey", at.brand_key(F.col("p_brand")).alias("key"))
+    return keyed.join(F.broadcast(aliases), "key", "left").select("p_partkey", F.coalesce("alias", "key").alias("brand"))  # a few fixed rows
+
+
+@query("select p_partkey, case when split_part(p_name, ' ', 2) = 'bolt' then 'bolt' else '' end as types, case when split_part(p_name, ' ', 1) in ('red', 'blue') then split_part(p_name, ' ', 1) else '' end as colours from part")
+def dictionary_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = tx.words(tx.normalise_text(F.col("p_name"), ascii_only=True))
+    return read(spark, sf_dir, "part").select("p_partkey", F.array_join(tx.found(words, lx.TYPES), "/").alias("types"), F.array_join(tx.found(words, lx.COLOURS), "/").alias("colours"))
+
+
+@query("select event_id, case when substr(t, 1, 1) in ('=', '+', '-', '@') and not regexp_full_match(t, '-?(0|[1-9][0-9]*)([.][0-9]+)?') then chr(39) || t else t end as cell from (select event_id, case event_id % 5 when 0 then '=' || event_type when 1 then '-' || user_id when 2 then '-x' || user_id when 3 then '@' || event_type else event_type end as t from events)")
+def csv_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.expr("case event_id % 5 when 0 then '=' || event_type when 1 then '-' || user_id when 2 then '-x' || user_id when 3 then '@' || event_type else event_type end")
+    return read(spark, sf_dir, "events").select("event_id", tx.csv_safe(text).alias("cell"))
+
+
+@query("with n as (select distinct p_name || ' ' || lower(p_type) as name from part), s as (select name, '#' || replace(name, ' ', '') || '#' as q from n) select name, array_to_string(list_sort(list_distinct([substr(q, i, 3) for i in range(1, length(q) - 1)])), ',') as trigrams, array_to_string(list_sort(list_distinct(string_split(name, ' '))), ',') as tokens from s")
+def trigram_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = read(spark, sf_dir, "part").select(F.concat("p_name", F.lit(" "), F.lower("p_type")).alias("name")).distinct()
+    return names.select("name", F.array_join(F.array_sort(tx.trigrams(F.col("name"))), ",").alias("trigrams"), F.array_join(F.array_sort(F.array_distinct(tx.words(F.col("name")))), ",").alias("tokens"))
+
+
+# ------------------------------------------------------------------ candidates
+
+
+def _keyed(spark: SparkSession, sf_dir: str, key: Column) -> DataFrame:
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("row"), key.alias("key"), F.col("p_brand").alias("brand"))
+
+
+@query("select x.p_partkey as a, y.p_partkey as b from part x join part y on x.p_name = y.p_name and x.p_type = y.p_type and x.p_partkey < y.p_partkey")
+def block_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates.block_pairs(_keyed(spark, sf_dir, F.concat_ws("|", "p_name", "p_type")), cap=1 << 30)
+
+
+@query(
+    "with s as (select p_partkey, p_type, p_brand, count(*) over (partition by p_type) as n, row_number() over (partition by p_type, p_brand order by p_partkey) as i from part), "
+    "k as (select p_partkey, p_type, case when n > 150 then p_brand end as split from s where n <= 150 or i <= 150) "
+    "select x.p_partkey as a, y.p_partkey as b from k x join k y on x.p_type = y.p_type and x.split is not distinct from y.split and x.p_partkey < y.p_partkey"
+)
+def block_pairs_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates.block_pairs(_keyed(spark, sf_dir, F.col("p_type")))
+
+
+@query("select a, b from (select doc_id as a, lead(doc_id) over (partition by text order by doc_id) as b from documents) where b is not null")
+def exact_repeat_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates.repeat_chain(read(spark, sf_dir, "documents"), ["text"], "doc_id")
+
+
+_TOKENS = "select distinct row, token from (select {row} as row, unnest(regexp_split_to_array(lower(text), '[ \\t\\n\\r]+')) as token from {table}) where token <> ''"
+
+
+def _tokens(df: DataFrame, row: Column) -> DataFrame:
+    return df.select(row.alias("row"), F.explode(F.array_distinct(F.split(F.lower("text"), r"[ \t\n\r]+"))).alias("token")).where("token <> ''").distinct()
+
+
+@query(f"with t as ({_TOKENS.format(row='doc_id', table='documents')}), n as (select greatest(25, count(*) // 100) as most from documents) select token, count(*) as df from t group by token having count(*) > 1 and count(*) <= (select most from n)")
+def token_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    limit = docs.agg(candidates.rare_limit(F.count("*")).alias("most"))
+    counts = candidates.token_frequency(_tokens(docs, F.col("doc_id")))
+    return counts.join(F.broadcast(limit)).where("df > 1 and df <= most").select("token", "df")  # one row
+
+
+@query(
+    f"with t as ({_TOKENS.format(row='conv_id * 1000 + turn', table='conversations')}), n as (select greatest(25, count(*) // 100) as most from conversations), "
+    "r as (select token from t group by token having count(*) > 1 and count(*) <= (select most from n)), k as (select t.* from t join r using (token)), "
+    "s as (select x.row as a, y.row as b, count(*) as shared from k x join k y on x.token = y.token and x.row <> y.row group by 1, 2) "
+    "select a, b, shared from (select *, row_number() over (partition by a order by shared desc, b) as i from s) where i <= 12"
+)
+def rare_token_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talk = read(spark, sf_dir, "conversations")
+    return candidates.rare_token_neighbours(_tokens(talk, F.col("conv_id") * 1000 + F.col("turn")), talk.agg(F.count("*").alias("total")))
+
+
+@query(
+    "select x.p_partkey as a, y.p_partkey as b from part x join part y on x.p_name = y.p_name and x.p_size = y.p_size and x.p_partkey < y.p_partkey "
+    "union select a, b from (select p_partkey as a, lead(p_partkey) over (partition by p_brand, p_name order by p_partkey) as b from part) where b is not null"
+)
+def candidate_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = candidates.block_pairs(_keyed(spark, sf_dir, F.concat_ws("|", "p_name", "p_size")), cap=1 << 30)
+    return blocks.union(candidates.repeat_chain(read(spark, sf_dir, "part"), ["p_brand", "p_name"], "p_partkey")).distinct()
+
+
+# ------------------------------------------------------------------ comparing
+
+# Rows of one brand and one thread size are compared: conflicts of colour, and the ladder from names.
+_FACTS = f"""
+{CATALOGUE}, named as (
+    select row, brand, size, p_name || ' ' || lower(p_type) as core, split_part(p_name, ' ', 2) = 'bolt' as bolt,
+        case when split_part(p_name, ' ', 1) in ('red', 'blue') then split_part(p_name, ' ', 1) end as colour, split_part(p_name, ' ', 2) as noun, p_type
+    from catalogue
+), features as (
+    select *, list_distinct(string_split(core, ' ')) as tokens,
+        list_distinct([substr('#' || replace(core, ' ', '') || '#', i, 3) for i in range(1, length(replace(core, ' ', '')) + 1)]) as grams
+    from named
+), parts as (
+    select x.row as a, y.row as b, x.bolt and y.bolt as types_agree, x.colour as colour_a, y.colour as colour_b, x.brand <> y.brand as brand_differs, x.size <> y.size as size_differs,
+        len(list_intersect(x.tokens, y.tokens)) as t1, len(list_distinct(list_concat(x.tokens, y.tokens))) as t2,
+        len(list_intersect(x.grams, y.grams)) as g1, len(list_distinct(list_concat(x.grams, y.grams))) as g2
+    from features x join features y on x.row < y.row and @JOIN@
+), scored as (
+    select *, round_even(t1 / t2 * 0.5 + g1 / g2 * 0.5, 3) as score from parts
+)"""
+FACTS = _FACTS.replace("@JOIN@", "x.brand = y.brand and x.size = y.size") + """, judged as (
+    select a, b, score, colour_a <> colour_b as clash, types_agree, coalesce(colour_a = colour_b, false) as colour_agrees from scored
+), verdicts as (
+    select a, b, score, case when clash then 'different' when types_agree and (colour_agrees or score >= 0.45) then 'same' when types_agree and score >= 0.25 then 'unsure'
+        when score >= 0.9 then 'same' when score >= 0.6 then 'unsure' else 'different' end as verdict,
+        case when clash then 'colour_differs' when types_agree and (colour_agrees or score >= 0.45) then 'same_spec' when types_agree and score >= 0.25 then 'same_spec_weak'
+        when score >= 0.6 then 'similar_names' else 'names_differ' end as reason, coalesce(clash, false) and score >= 0.75 as lookalike
+    from (select a, b, score, coalesce(clash, false) as clash, types_agree, colour_agrees from judged)
+)"""
+
+
+def _catalogue_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogue.items_of(catalogue.derived(spark, sf_dir), ascii_only=True)
+
+
+def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _catalogue_items(spark, sf_dir)
+    keyed = items.select("row", F.concat_ws("|", "norm.brand", "norm.dims.thread").alias("key"), F.col("norm.brand").alias("brand"))
+    return compare.compare(candidates.block_pairs(keyed, cap=1 << 30), items)
+
+
+@query(f"with {FACTS} select a, b, t1 as tokens_both, t2 as tokens_any, g1 as grams_both, g2 as grams_any, score from scored")
+def name_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _catalogue_items(spark, sf_dir)
+    keyed = items.select("row", F.concat_ws("|", "norm.brand", "norm.dims.thread").alias("key"), F.col("norm.brand").alias("brand"))
+    pairs = candidates.block_pairs(keyed, cap=1 << 30)
+    one = lambda n: items.select(F.col("row").alias(n), F.col("tokens").alias(f"t{n}"), F.col("trigrams").alias(f"g{n}"))
+    df = pairs.join(one("a"), "a").join(one("b"), "b")
+    size = lambda f, k: F.size(f(f"{k}a", f"{k}b")).cast("long")
+    return df.select("a", "b", size(F.array_intersect, "t").alias("tokens_both"), size(F.array_union, "t").alias("tokens_any"), size(F.array_intersect, "g").alias("grams_both"), size(F.array_union, "g").alias("grams_any"), tx.name_similarity(F.col("ta"), F.col("ga"), F.col("tb"), F.col("gb")).alias("score"))
+
+
+@query(f"with {FACTS} select a, b, verdict, reason, score from verdicts")
+def verdict_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _compared(spark, sf_dir).select("a", "b", "verdict", "reason", "score")
+
+
+_CONFLICTS = f"""with {CATALOGUE}, n as (select row, brand, size, p_name, case when split_part(p_name, ' ', 1) in ('red', 'blue') then split_part(p_name, ' ', 1) end as colour, split_part(p_name, ' ', 2) as noun, p_type from catalogue)
+select x.row as a, y.row as b, concat_ws(',', case when x.brand <> y.brand then 'brand_differs' end, case when x.colour <> y.colour then 'colour_differs' end, case when x.size <> y.size then 'size_differs' end) as codes
+from n x join n y on x.noun = y.noun and x.p_type = y.p_type and x.size // 4 = y.size // 4 and x.row < y.row"""
+
+
+def _nouns(items: DataFrame) -> DataFrame:
+    """Pairs of rows with one noun and type and nearly one thread size."""
+    size = F.substr("norm.dims.thread", F.lit(2)).cast("int")
+    keyed = items.select("row", F.concat_ws("|", F.split("name", " ")[1], F.split("name", " ")[3], F.floor(size / 4).cast("string")).alias("key"), F.col("norm.brand").alias("brand"))
+    return candidates.block_pairs(keyed, cap=1 << 30)
+
+
+@query(_CONFLICTS)
+def conflict_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _catalogue_items(spark, sf_dir)
+    facts = compare.compared(_nouns(items), items)
+    return facts.select("a", "b", F.array_join(F.transform("hard_rules", lambda c: c["code"]), ",").alias("codes"))
+
+
+_NEAR = _FACTS.replace("@JOIN@", "x.noun = y.noun and x.p_type = y.p_type and x.size // 4 = y.size // 4")
+
+
+@query(f"with {_NEAR} select a, b, score, case when brand_differs then 'brand_differs' when colour_a <> colour_b then 'colour_differs' else 'size_differs' end as reason from scored where score >= 0.75 and brand_differs::int + coalesce(colour_a <> colour_b, false)::int + size_differs::int = 1")
+def lookalike_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.compare(_nouns(_catalogue_items(spark, sf_dir)), _catalogue_items(spark, sf_dir)).where("verdict = 'different' and lookalike").select("a", "b", "score", "reason")
+
+
+@query(f"with {FACTS} select a, b, score from verdicts where verdict = 'unsure' order by score desc, a, b limit 200")
+def unsure_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _compared(spark, sf_dir).where("verdict = 'unsure'").select("a", "b", "score").orderBy(F.desc("score"), "a", "b").limit(200)
+
+
+@query(
+    f"with {FACTS}, same as (select * from verdicts where verdict <> 'different'), kinds as (select row, brand || size as cluster from named) "
+    "select a, b, score from (select s.a, s.b, s.score, row_number() over (partition by least(x.row // 7, y.row // 7), greatest(x.row // 7, y.row // 7) order by s.score desc, s.a, s.b) as i from same s join named x on s.a = x.row join named y on s.b = y.row where x.row // 7 <> y.row // 7) where i = 1"
+)
+def one_per_cluster_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _compared(spark, sf_dir).where("verdict <> 'different'").select("a", "b", "score")
+    members = _catalogue_items(spark, sf_dir).select("row", F.floor(F.col("row") / 7).cast("long").alias("cluster"))
+    return cluster.one_per_cluster_pair(pairs, members)
+
+
+# ------------------------------------------------------------------ groups
+
+
+@query("select doc_id, min(doc_id) over (partition by text) as component from documents qualify count(*) over (partition by text) > 1")
+def duplicate_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chain = candidates.repeat_chain(read(spark, sf_dir, "documents"), ["text"], "doc_id")
+    return components(chain, "a", "b").select(F.col("node").alias("doc_id"), "component")
+
+
+@query()
+def cannot_link_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups from the compared pairs, with every tenth of these pairs forbidden by a decision."""
+    items = _catalogue_items(spark, sf_dir)
+    pairs = _compared(spark, sf_dir)
+    told = pairs.where((F.col("a") + F.col("b")) % 10 == 0).select("a", "b", F.lit("different").alias("verdict"))
+    return cluster.members_of(decisions.with_decisions(pairs, told), items).select("row", "cluster", "confidence", F.array_join("reasons", " ").alias("reasons"))
+
+
+@query()
+def catalogue_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole analysis of the derived catalogue."""
+    found = analysis.analyse(_catalogue_items(spark, sf_dir)).groups()
+    return found.select("label", "size", "master", "confidence", F.array_join("reasons", " ").alias("reasons"), "name_standard", "stock_total", "stock_on_duplicates", "value_on_duplicates", "cost_low", "cost_high", "units_differ")
+
+
+GROUPED = f"""{CATALOGUE}, ranked as (
+    select *, p_name || '|' || p_type || '|' || brand as grp, row_number() over (partition by p_name, p_type, brand order by (stock is not null)::int desc, coalesce(stock, 0) desc, row) as i from catalogue
+), members as (select *, case when i = 1 then 'master' else 'duplicate' end as role from ranked qualify count(*) over (partition by grp) > 1)"""
+
+
+def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of one name, type and brand as groups, in the columns that cluster operators take."""
+    df = catalogue.derived(spark, sf_dir).join(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("row"), "p_name", "p_type"), "row")
+    df = df.withColumn("grp", F.concat_ws("|", "p_name", "p_type", "brand"))
+    sizes = df.groupBy("grp").agg(F.count("*").alias("n"), F.min("row").alias("cluster")).where("n > 1")
+    norm = F.struct(F.col("brand").alias("brand"), F.lit(None).cast("string").alias("part_base"), F.col("unit_cost"), F.col("stock"), F.lit(None).cast("int").alias("pack"))
+    items = df.select("row", norm.alias("norm"), "code", "name", F.lit(None).cast("string").alias("unit"))
+    return cluster.with_roles(df.join(sizes, "grp").select("row", "cluster", "grp"), items)
+
+
+@query(f"with {GROUPED} select grp, row as master from members where role = 'master'")
+def choose_master(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _members(spark, sf_dir).where("role = 'master'").select("grp", F.col("row").alias("master"))
+
+
+FIGURES = f"""{GROUPED}, figures as (
+    select grp, case when count(stock) > 0 then round_even(sum(coalesce(stock, 0)), 3) end as stock_total, case when count(stock) > 0 then round_even(sum(case when role = 'duplicate' then coalesce(stock, 0) else 0 end), 3) end as stock_on_duplicates,
+        case when count(stock) > 0 then round_even(sum(case when role = 'duplicate' then coalesce(stock, 0) * unit_cost else 0 end), 2) end as value_on_duplicates, round_even(min(unit_cost), 4) as cost_low, round_even(max(unit_cost), 4) as cost_high, false as units_differ
+    from members group by grp
+)"""
+
+
+def _figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _members(spark, sf_dir)
+    return figures.group_figures(m.select("grp", "role", "unit", "norm.stock", "norm.pack", "norm.unit_cost"), "grp")
+
+
+@query(f"with {FIGURES} select grp, stock_total, stock_on_duplicates, cost_low, cost_high, units_differ from figures")
+def group_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _figures(spark, sf_dir).select("grp", "stock_total", "stock_on_duplicates", "cost_low", "cost_high", "units_differ")
+
+
+@query(f"with {FIGURES} select cast(sum(stock_on_duplicates) as double) as units_on_duplicates, cast(round(sum(value_on_duplicates)) as bigint) as value_on_duplicates, count(*) filter (cost_low <> 0 and cost_high - cost_low > 0.2 * cost_low) as groups_with_cost_gap, count(*) filter (units_differ) as groups_units_differ from figures")
+def headline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = figures.headline(_figures(spark, sf_dir))
+    return h.select("units_on_duplicates", F.round("value_on_duplicates").cast("long").alias("value_on_duplicates"), "groups_with_cost_gap", "groups_units_differ")
+
+
+@query("select p_name, min(p_retailprice) as cost_low, max(p_retailprice) as cost_high from part group by p_name having max(p_retailprice) - min(p_retailprice) > 0.2 * min(p_retailprice)")
+def cost_gap_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = lambda kind: F.lit(None).cast(kind)
+    part = read(spark, sf_dir, "part").select("p_name", F.lit("duplicate").alias("role"), none("string").alias("unit"), none("double").alias("stock"), none("int").alias("pack"), F.col("p_retailprice").alias("unit_cost"))
+    f = figures.group_figures(part, "p_name")
+    return f.where(F.col("cost_high") - F.col("cost_low") > figures.COST_GAP * F.col("cost_low")).select("p_name", "cost_low", "cost_high")
+
+
+@query(f"with {GROUPED}, heads as (select grp, min(row) as cluster from members group by grp) select cluster, 'G-' || case when i < 1000 then lpad(cast(i as varchar), 4, '0') else cast(i as varchar) end as label from (select cluster, row_number() over (order by cluster) as i from heads)")
+def group_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.labels(_members(spark, sf_dir))
+
+
+@query(f"with {GROUPED} select grp, string_agg(row || ':' || role, ',' order by row) as members from members group by grp")
+def members_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nested = F.array_sort(F.collect_list(F.struct("row", "role")))
+    return _members(spark, sf_dir).groupBy("grp").agg(F.array_join(F.transform(nested, lambda m: F.concat(m["row"].cast("string"), F.lit(":"), m["role"])), ",").alias("members"))
+
+
+@query("with c as (select o_custkey, case o_orderstatus when 'F' then 'reviewed' when 'O' then 'high' else 'medium' end as confidence from orders) select o_custkey, case when bool_and(confidence = 'reviewed') then 'reviewed' when bool_and(confidence <> 'medium') then 'high' else 'medium' end as confidence from c group by o_custkey")
+def group_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    level = F.when(F.col("o_orderstatus") == "F", "reviewed").when(F.col("o_orderstatus") == "O", "high").otherwise("medium")
+    rank = cluster.strength(F.col("c"))
+    agg = read(spark, sf_dir, "orders").select("o_custkey", level.alias("c")).groupBy("o_custkey").agg(F.min(rank).alias("low"))
+    return agg.select("o_custkey", F.element_at(F.array(F.lit("medium"), F.lit("high"), F.lit("reviewed")), F.col("low")).alias("confidence"))
+
+
+@query(
+    "with f as (select l_orderkey, l_returnflag || l_linestatus as detail, min(-l_linenumber) as strongest, count(*) as n from lineitem group by 1, 2) "
+    "select l_orderkey, string_agg(detail, ',' order by strongest, detail) as reasons from (select *, row_number() over (partition by l_orderkey order by strongest, detail) as i from f) where i <= 3 group by l_orderkey"
+)
+def group_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.concat("l_returnflag", "l_linestatus").alias("detail")).agg(F.min(-F.col("l_linenumber")).alias("strongest"))
+    best = F.slice(F.array_sort(F.collect_list(F.struct("strongest", "detail"))), 1, 3)
+    return first.groupBy("l_orderkey").agg(F.array_join(F.transform(best, lambda r: r["detail"]), ",").alias("reasons"))
+
+
+@query(f"with {GROUPED} select (select count(*) from catalogue) as items, count(distinct grp) as groups, count(*) - count(distinct grp) as duplicate_lines from members")
+def rollup_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _members(spark, sf_dir).agg(F.countDistinct("grp").alias("groups"), (F.count("*") - F.countDistinct("grp")).alias("duplicate_lines"))
+    return read(spark, sf_dir, "part").agg(F.count("*").alias("items")).crossJoin(m)  # one row each
+
+
+@query(f"with {GROUPED}, labelled as (select 'G-' || lpad(cast(dense_rank() over (order by grp) as varchar), 6, '0') as label, grp from (select distinct grp from members)) select label, grp from labelled order by label limit 25 offset 50")
+def page_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = _members(spark, sf_dir).select("grp").distinct()
+    shown = workspace.page(groups, ["grp"], 25, 50).withColumn("n", F.lit(None))  # the page first, then its numbers
+    from pyspark.sql import Window
+
+    n = F.row_number().over(Window.orderBy("grp")) + 50  # over the page's 25 rows
+    return shown.select(F.concat(F.lit("G-"), F.lpad(n.cast("string"), 6, "0")).alias("label"), "grp")
+
+
+@query(
+    f"with {GROUPED}, m as (select row, role, grp from members), x as (select c.row, c.code, upper(replace(c.brand, '#', '')) as brand, m.role, k.code as master_code from catalogue c left join m on c.row = m.row left join (select grp, r.code from ranked r where i = 1) k on m.grp = k.grp), "
+    "l as (select row as a, row + 1 as b from catalogue where row % 10 = 0 and row + 1 in (select row from catalogue)), "
+    "p as (select a as row, b as other from l union select b, a from l) "
+    "select x.row, coalesce(x.role, case when x.row % 10 = 5 then 'needs_review' else 'unique' end) as role, coalesce(master_code, '') as master_code, x.brand, coalesce(cast(p.other as varchar), '') as lookalike_of from x left join p on x.row = p.row"
+)
+def export_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _members(spark, sf_dir)
+    members = m.select("row", "role", F.col("grp").alias("label"), F.lit("high").alias("confidence"), F.array(F.lit("")).alias("reasons"), F.lit("").alias("name_standard"), F.lit(None).cast("double").alias("stock_total"), F.lit(None).cast("double").alias("value_on_duplicates"))
+    base = catalogue.derived(spark, sf_dir)
+    norm = F.struct(at.brand_key(F.col("brand"), ascii_only=True).alias("brand"), F.lit(None).cast("string").alias("part_base"), F.array().cast("array<string>").alias("variants"))
+    items = base.select("row", "code", norm.alias("norm"), F.lit(True).alias("analysed"))
+    ahead = base.select((F.col("row") - 1).alias("a"), F.col("row").alias("b"))
+    near = base.where("row % 10 = 0").select(F.col("row").alias("a")).join(ahead, "a")
+    review = base.where("row % 10 = 5").select(F.col("row").alias("a"), F.col("row").alias("b"))
+    out = added_columns(items, members, near, review)
+    return out.select("row", F.col("dedupe_role").alias("role"), F.col("dedupe_master_code").alias("master_code"), F.col("dedupe_brand").alias("brand"), F.col("dedupe_lookalike_of").alias("lookalike_of"))
+
+
+# ------------------------------------------------------------------ decisions, review, evaluation
+
+# A log from conversations: a turn is a decision about two neighbouring rows.
+LOG = "select conv_id * 1000 + turn as id, case turn % 3 when 0 then 'same' when 1 then 'different' else 'set_master' end as action, conv_id % 97 as x, conv_id % 97 + 1 + turn % 2 as y from conversations"
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("conv_id") % 97
+    action = F.when(F.col("turn") % 3 == 0, "same").when(F.col("turn") % 3 == 1, "different").otherwise("set_master")
+    return read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), action.alias("action"), F.array(x, x + 1 + F.col("turn") % 2).alias("rows"))
+
+
+@query(f"select a, b, verdict from (select x as a, y as b, action as verdict, row_number() over (partition by x, y order by id desc) as i from ({LOG}) where action <> 'set_master') where i = 1")
+def decision_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decisions.decided_pairs(_log(spark, sf_dir))
+
+
+@query(f"select x // 10 as cluster, max_by(x, id) as chosen from ({LOG}) where action = 'set_master' group by x // 10")
+def last_master(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _log(spark, sf_dir)
+    members = log.select(F.get("rows", F.lit(0)).alias("row")).distinct().withColumn("cluster", F.floor(F.col("row") / 10).cast("long"))
+    return decisions.last_masters(log, members)
+
+
+@query(f"with d as (select a, b, verdict from (select x as a, y as b, action as verdict, row_number() over (partition by x, y order by id desc) as i from ({LOG}) where action <> 'set_master') where i = 1), {FACTS} select v.a, v.b, coalesce(d.verdict, v.verdict) as verdict, case d.verdict when 'same' then 'reviewed_same' when 'different' then 'reviewed_different' else v.reason end as reason from verdicts v left join d on v.a = d.a and v.b = d.b")
+def override_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decisions.with_decisions(_compared(spark, sf_dir), decisions.decided_pairs(_log(spark, sf_dir))).select("a", "b", "verdict", "reason")
+
+
+@query(f"with forced as (select distinct x as a, y as b from ({LOG}) where action = 'same'), forbidden as (select distinct x as a, y as b from ({LOG}) where action = 'different') select a, b from forced anti join forbidden using (a, b)")
+def forbidden_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _log(spark, sf_dir)
+    told = lambda action: decisions.decided_pairs(log.where(F.col("action") == action)).select("a", "b")
+    return told("same").join(told("different"), ["a", "b"], "left_anti")
+
+
+@query(f"with {FACTS}, cache as (select row from named where row % 3 = 0) select v.a, v.b, c.row is not null as cached from verdicts v left join cache c on v.a = c.row where verdict = 'unsure'")
+def cache_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    open_ = _compared(spark, sf_dir).where("verdict = 'unsure'").withColumn("key", F.col("a"))
+    cache = read(spark, sf_dir, "part").where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("key"), F.lit("same").alias("answer"), F.lit("").alias("answer_reason"))
+    hit, todo = reviewer.from_cache(open_, cache)
+    return hit.select("a", "b", F.lit(True).alias("cached")).union(todo.select("a", "b", F.lit(False)))
+
+
+@query("select p_partkey, sha256('[\"v1\",\"' || least(p_name, lower(p_type)) || '\",\"' || greatest(p_name, lower(p_type)) || '\"]') as key from part")
+def cache_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.col("p_name"), F.lower("p_type")
+    return read(spark, sf_dir, "part").select("p_partkey", F.sha2(F.to_json(F.array(F.lit("v1"), F.least(a, b), F.greatest(a, b))), 256).alias("key"))
+
+
+_TRUTH = "t as (select p_partkey as row, p_name || p_brand as k from part), g as (select p_partkey as row, p_name || p_brand || p_type as k from part), truth as (select x.row as a, y.row as b from t x join t y on x.k = y.k and x.row < y.row), pred as (select x.row as a, y.row as b from g x join g y on x.k = y.k and x.row < y.row union select x.row, y.row from t x join t y on x.row = y.row - 7 and x.row % 5 = 0)"
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("row"), F.concat("p_name", "p_brand").alias("k"), F.concat("p_name", "p_brand", "p_type").alias("g"))
+    odd = part.where("row % 5 = 0").select(F.col("row").alias("a"), (F.col("row") + 7).alias("b")).join(part.select(F.col("row").alias("b")), "b").select("a", "b")
+    return evaluate.pairs_within(part, "g").union(odd).distinct(), evaluate.pairs_within(part, "k")
+
+
+@query(f"with {_TRUTH}, c as (select count(*) as n from pred join truth using (a, b)) select c.n / (select count(*) from pred) as precision, c.n / (select count(*) from truth) as recall, (select count(*) from truth) as true_pairs, (select count(*) from pred) as grouped_pairs, c.n as correct_pairs from c")
+def pairwise_precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.score(*_judged(spark, sf_dir))
+
+
+@query(f"with {_TRUTH} select a, b, 'wrong' as kind from (select a, b from pred except select a, b from truth) union all select a, b, 'missed' from (select a, b from truth except select a, b from pred)")
+def wrong_and_missed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wrong, missed = evaluate.wrong_and_missed(*_judged(spark, sf_dir))
+    return wrong.withColumn("kind", F.lit("wrong")).unionByName(missed.withColumn("kind", F.lit("missed")))
+
+
+# ------------------------------------------------------------------ data quality
+
+
+_CELLS = "select event_id as row_number, case when event_id % 4 = 0 then ' ' else event_type end as kind, case when event_id % 50 < 49 then cast(value as varchar) end as amount, props from events"
+
+
+@query(
+    f"with c as ({_CELLS}), u as (select row_number as r, 'kind' as \"column\", kind as v from c union all select row_number, 'amount', amount from c union all select row_number, 'props', props from c) "
+    "select \"column\", count(*) filter (trim(coalesce(v, '')) <> '') as filled, count(*) as total, cast(case when count(*) filter (trim(coalesce(v, '')) <> '') = count(*) then 100 else least(99, count(*) filter (trim(coalesce(v, '')) <> '') * 100 // count(*)) end as integer) as fill_percent, min_by(v, r) filter (trim(coalesce(v, '')) <> '') as sample from u group by \"column\""
+)
+def quality_fill_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = read(spark, sf_dir, "events").select(F.col("event_id").alias("row_number"), F.when(F.col("event_id") % 4 == 0, " ").otherwise(F.col("event_type")).alias("kind"), F.when(F.col("event_id") % 50 < 49, F.col("value").cast("string")).alias("amount"), "props")
+    return report.column_stats(cells, ["kind", "amount", "props"])
+
+
+@query("select props as value, count(*) as n, min(event_id) as first_row, max(event_id) as last_row from events group by props having count(*) > 1")
+def duplicate_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.duplicate_values(read(spark, sf_dir, "events"), "props", "event_id")
+
+
+@query("select event_type as reason, count(*) as n from events where event_type <> 'view' group by event_type")
+def malformed_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "events").withColumn("malformed_reason", F.when(F.col("event_type") != "view", F.col("event_type")))
+    return report.malformed_reasons(rows)
+
+
+@query("select p_partkey from part where p_partkey % 6 = 5")
+def not_a_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "part").where(~at.parse_number(F.expr(_AMOUNTS))["ok"]).select("p_partkey")
+
+
+@query("select case p_partkey % 6 when 0 then 'GBP' when 4 then 'EUR' else 'USD' end as currency, count(*) as n from part where p_partkey % 6 <> 5 group by 1")
+def currency_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = read(spark, sf_dir, "part").withColumn("n", at.parse_number(F.expr(_AMOUNTS)))
+    return part.where("n.number is not null").groupBy(F.coalesce("n.currency", F.lit("USD")).alias("currency")).agg(F.count("*").alias("n"))
+
+
+# ------------------------------------------------------------------ tables
+
+
+@query("select user_id, event_id, event_type, value from (select *, row_number() over (partition by user_id order by event_id desc) as i from events) where i = 1")
+def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decisions.latest(read(spark, sf_dir, "events"), ["user_id"], "event_id").select("user_id", "event_id", "event_type", "value")
+
+
+@query("select o_custkey, count(*) filter (o_orderstatus = 'F') as done, count(*) filter (o_orderstatus = 'O') as open, count(*) filter (o_orderstatus = 'P') as part_done from orders group by o_custkey")
+def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    is_ = lambda s: F.count_if(F.col("o_orderstatus") == s)
+    return read(spark, sf_dir, "orders").groupBy("o_custkey").agg(is_("F").alias("done"), is_("O").alias("open"), is_("P").alias("part_done"))
+
+
+@query("select max(cast(substr('G-' || lpad(cast(o_orderkey as varchar), 9, '0'), 3) as bigint)) + 1 as following from orders")
+def next_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.concat(F.lit("G-"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0"))
+    return read(spark, sf_dir, "orders").agg((F.max(F.substring(label, 3, 20).cast("long")) + 1).alias("following"))
+
+
+@query(f"with {FACTS} select a, b, score, 'lookalike' as kind from verdicts where verdict = 'different' and lookalike union all select a, b, score, 'review' from verdicts where verdict = 'unsure'")
+def pairs_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _compared(spark, sf_dir)
+    near = pairs.where("verdict = 'different' and lookalike").select("a", "b", "score", F.lit("lookalike").alias("kind"))
+    return near.unionByName(pairs.where("verdict = 'unsure'").select("a", "b", "score", F.lit("review").alias("kind")))
+
+
+@query("select p_partkey, p_name, case when p_partkey % 4 = 0 then 'part' else 'text' end as source from part where p_partkey in (select l_partkey from lineitem where l_returnflag = 'R')")
+def rows_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flagged = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"))
+    return read(spark, sf_dir, "part").join(flagged, "p_partkey", "left_semi").select("p_partkey", "p_name", F.when(F.col("p_partkey") % 4 == 0, "part").otherwise("text").alias("source"))
