@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +21,7 @@ from .components import components
 STRENGTH = {"reviewed": 3, "high": 2, "medium": 1}
 #: What the hard rules read; rows that agree in all of these never conflict.
 SIGNATURE = ("brand", "part_base", "variants", "variant_classes", "types", "colours", "materials", "codes", "numbers", "dims")
-MEMBERS = "component long, row long, cluster long, confidence string, reasons array<string>"
+MEMBERS = "row long, cluster long, confidence string, reasons array<string>"
 
 
 def strength(confidence: Column) -> Column:
@@ -35,46 +35,66 @@ def signature_conflicts(placed: DataFrame) -> DataFrame:
     return left.join(right, "component").where("s < t").where(F.size(conflicts(F.col("x"), F.col("y"))) > 0).select("component", "s", "t")
 
 
-def _agglomerate(key, rows: pd.DataFrame) -> pd.DataFrame:
-    """rows of one component: kind row (a, s), edge (a, b, level, score, detail), apart (a, b) or clash (s, t)."""
-    cluster = {int(r): int(r) for r in rows.loc[rows.kind == "row", "a"]}
-    sig_of = dict(zip(rows.loc[rows.kind == "row", "a"], rows.loc[rows.kind == "row", "s"], strict=True))
+def _merge(rows: list[tuple]) -> list[tuple]:
+    """(row, cluster, confidence, reasons) of one component's (kind, a, b, s, t, level, score, detail).
+
+    Kinds: row (a with signature s), edge (a, b), apart (a, b), clash (signatures s, t).
+    """
+    cluster, signs, edges = {}, {}, []
+    clash, apart = defaultdict(set), defaultdict(set)
+    for kind, a, b, s, t, level, score, detail in rows:
+        if kind == "row":
+            cluster[a], signs[a] = a, {s}
+        elif kind == "edge":
+            edges.append((-level, -score, a, b, detail))
+        else:
+            told, x, y = (apart, a, b) if kind == "apart" else (clash, s, t)
+            told[x].add(y)
+            told[y].add(x)
     members = {r: {r} for r in cluster}
-    signs = {r: {sig_of[r]} for r in cluster}
     inside: dict[int, list] = defaultdict(list)
-    clash, apart = defaultdict(set), defaultdict(set)
-    for t in rows[rows.kind == "clash"].itertuples():
-        clash[t.s].add(t.t)
-        clash[t.t].add(t.s)
-    for t in rows[rows.kind == "apart"].itertuples():
-        apart[t.a].add(t.b)
-        apart[t.b].add(t.a)
-    edges = rows[rows.kind == "edge"].sort_values(["level", "score", "a", "b"], ascending=[False, False, True, True])
-    for e in edges.itertuples():
-        p, q = cluster[e.a], cluster[e.b]
+    for edge in sorted(edges):
+        level, _, a, b, _ = edge
+        p, q = cluster[a], cluster[b]
         if p != q:
             small, big = sorted((p, q), key=lambda c: (len(members[c]), -c))
-            if e.level < 3 and any(not signs[big].isdisjoint(clash[s]) for s in signs[small]):
+            if level > -3 and any(not signs[big].isdisjoint(clash[s]) for s in signs[small]):
                 continue
             if any(not members[big].isdisjoint(apart[r]) for r in members[small]):
                 continue
-            for r in members[small]:
-                cluster[r] = big
+            cluster.update(dict.fromkeys(members[small], big))
             members[big] |= members.pop(small)
             signs[big] |= signs.pop(small)
             inside[big] += inside.pop(small, [])
             p = big
-        inside[p].append(e)
+        inside[p].append(edge)
     out = []
     for c, held in members.items():
-        if len(held) < 2:
-            continue
-        found = sorted(inside[c], key=lambda e: (-e.level, -e.score, e.a, e.b))
-        levels = {e.level for e in found}
-        confidence = "reviewed" if levels == {3} else "high" if levels <= {2, 3} else "medium"
-        reasons = list(dict.fromkeys(e.detail for e in found))[:3]
-        out += [(key[0], r, min(held), confidence, reasons) for r in held]
-    return pd.DataFrame(out, columns=["component", "row", "cluster", "confidence", "reasons"])
+        if len(held) > 1:
+            levels = {-e[0] for e in inside[c]}
+            confidence = "reviewed" if levels == {3} else "high" if levels <= {2, 3} else "medium"
+            reasons = list(dict.fromkeys(e[4] for e in sorted(inside[c])))[:3]
+            out += [(r, min(held), confidence, reasons) for r in held]
+    return out
+
+
+def _agglomerate(batches):
+    """Components one after the other, from rows sorted by component."""
+    last, held = None, []
+
+    def done(rows: list[tuple]):
+        found = _merge(rows)
+        if found:
+            columns = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string())), strict=True)], names=["row", "cluster", "confidence", "reasons"])
+
+    for batch in batches:
+        for component, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if component != last:
+                yield from done(held)
+                last, held = component, []
+            held.append(tuple(row))
+    yield from done(held)
 
 
 def members_of(pairs: DataFrame, items: DataFrame) -> DataFrame:
@@ -99,7 +119,8 @@ def members_of(pairs: DataFrame, items: DataFrame) -> DataFrame:
     clash = signature_conflicts(placed.select("component", "sig", "norm"))
     clash = clash.select("component", F.lit("clash").alias("kind"), none("long").alias("a"), none("long").alias("b"), "s", "t", none("int").alias("level"), none("double").alias("score"), none("string").alias("detail"))
     whole = rows.unionByName(edge).unionByName(told).unionByName(clash)
-    return whole.groupBy("component").applyInPandas(_agglomerate, MEMBERS).drop("component")
+    dealt = whole.select("component", "kind", "a", "b", "s", "t", "level", "score", "detail").repartition("component").sortWithinPartitions("component")
+    return dealt.mapInArrow(_agglomerate, MEMBERS)
 
 
 def complete(norm: Column, code: Column) -> Column:
