@@ -1,9 +1,12 @@
 """Main text of HTML pages by a tree-structured graphical model.
 
 The blocks of a page are the nodes of a tree; each is content or not.  Node
-potentials come from discrete features (element, names in class and id, link
-density, length, punctuation, telling words), parent-child potentials from how labels
-follow each other down the tree; both are counted on labelled pages.
+potentials come, for each element and by whether names around it speak against
+content, from discrete features of its text (link
+density, length, punctuation, telling words, being hidden), parent-child potentials from how
+labels follow each other down the tree for the elements and the kinds of class
+names of both; they are counted on labelled pages, and where few were seen the
+parent's element counts less.
 Sum-product messages upward and downward give every block's marginal, and the
 text of blocks with a marginal of at least AT is kept.
 """
@@ -23,6 +26,8 @@ from .dom import Node, parse
 from .html_pages import labelled_pages
 
 AT = 0.5
+#: The blocks below one parent are alike, so the evidence of many counts as that of so many.
+SIBLINGS = 3
 TRAIN_PAGES = 1500
 SMOOTH = 0.3
 
@@ -41,7 +46,7 @@ NAMES = {
 WORDS = re.compile(r"\b(cookies?|subscribe|newsletter|sign up|log in|privacy policy|advertisement|share this)\b", re.I)
 _NAME_OF = {word: i + 1 for i, words in enumerate(NAMES.values()) for word in words.split()}
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-_SIZES = (18, 9 + 1, 5, 5, 3, 2, 2)
+_SIZES = (18, 9 + 1, 2 * 18, 5, 5, 3, 2, 2)
 
 
 @lru_cache(maxsize=4096)
@@ -57,6 +62,7 @@ def features(nodes: list[Node]) -> list[tuple[int, ...]]:
         p = nodes[i].parent
         letters[p] += letters[i]
         linked[p] += linked[i]
+    kinds = [name_kind(n.attrs) if n.attrs else 0 for n in nodes]
     found = []
     for i, n in enumerate(nodes):
         size = n.letters
@@ -64,20 +70,25 @@ def features(nodes: list[Node]) -> list[tuple[int, ...]]:
         length = 0 if not size else 1 if size < 25 else 2 if size < 80 else 3 if size < 200 else 4
         ends = 0 if not size else 1 if any(x[-1] in ".!?:;…。" for x in n.runs) else 2
         telling = bool(0 < size < 300 and any(WORDS.search(x) for x in n.runs))
-        found.append((n.group, name_kind(n.attrs) if n.attrs else 0, density, length, ends, int(telling), int(n.hidden)))
+        around = 0 < kinds[i] < len(NAMES) or 0 < kinds[max(n.parent, 0)] < len(NAMES)  # it or its parent is named as something other than content
+        found.append((n.group, kinds[i], 2 * n.group + around, density, length, ends, int(telling), int(n.hidden)))
     return found
 
 
-def _edge_kind(f: tuple[int, ...]) -> int:
-    """Kind of a parent: its element, and whether its names tell nothing, content or something else."""
-    return 3 * f[0] + (0 if not f[1] else 1 if f[1] == len(NAMES) else 2)
+_CHILDREN = _SIZES[0] * _SIZES[1]
+
+
+def _edge_kind(parent: tuple[int, ...], child: tuple[int, ...]) -> int:
+    """Kind of an edge: the parent's element and whether its names tell nothing, content or something else; the child's element and names."""
+    above = 3 * parent[0] + (0 if not parent[1] else 1 if parent[1] == len(NAMES) else 2)
+    return above * _CHILDREN + child[0] * _SIZES[1] + child[1]
 
 
 @dataclass
 class Model:
-    """node[f][value]: odds of content against the rest; edge[kind of parent]: P(child | parent) as (00, 01, 10, 11); root: odds of the root."""
+    """node[f][element][value]: odds of content against the rest; edge[kinds of parent and child]: P(child | parent) as (00, 01, 10, 11); root: odds of the root."""
 
-    node: list[list[float]]
+    node: list[list[list[float]]]
     edge: list[tuple[float, float, float, float]]
     root: float
 
@@ -86,12 +97,16 @@ class Model:
         up0, up1 = [1.0] * len(nodes), []
         tables = self.node
         seen = features(nodes)
-        edges = [self.edge[_edge_kind(f)] for f in seen]
-        for f in seen:
+        edges = [self.edge[_edge_kind(seen[max(n.parent, 0)], f)] for n, f in zip(nodes, seen)]
+        below = [0] * len(nodes)
+        for n in nodes[1:]:
+            below[n.parent] += 1
+        for n, f in zip(nodes, seen):
             odds = 1.0
-            for table, value in zip(tables, f):
-                odds *= table[value]
-            up1.append(odds)
+            for table, value in zip(tables, f[3:]):
+                odds *= table[f[2]][value]
+            many = below[max(n.parent, 0)]
+            up1.append(odds if many <= SIBLINGS else odds ** (SIBLINGS / many))
         to0, to1 = [1.0] * len(nodes), [1.0] * len(nodes)
         for i in range(len(nodes) - 1, 0, -1):  # upward: children come after parents
             a, b = up0[i], up1[i]
@@ -99,7 +114,7 @@ class Model:
             a, b = a / s, b / s
             up0[i], up1[i] = a, b
             p = nodes[i].parent
-            t00, t01, t10, t11 = edges[p]
+            t00, t01, t10, t11 = edges[i]
             m0, m1 = t00 * a + t01 * b, t10 * a + t11 * b
             s = m0 + m1
             to0[i], to1[i] = m0 / s, m1 / s
@@ -112,7 +127,7 @@ class Model:
         for i, n in enumerate(nodes):  # downward
             if i:
                 p = n.parent
-                t00, t01, t10, t11 = edges[p]
+                t00, t01, t10, t11 = edges[i]
                 c0, c1 = be0[p] / max(to0[i], 1e-300), be1[p] / max(to1[i], 1e-300)
                 be0[i] = up0[i] * (c0 * t00 + c1 * t10)
                 be1[i] = up1[i] * (c0 * t01 + c1 * t11)
@@ -135,9 +150,8 @@ _GOLD = re.compile(r"data-gold\s*=\s*([\"']?)([01])\1")
 
 def fit(pages: list[str], smooth: float = SMOOTH) -> Model:
     """Potentials counted on pages whose blocks carry data-gold; blocks without it are left out."""
-    node = [[[smooth, smooth] for _ in range(n)] for n in _SIZES]
-    label_sum = [smooth * 2, smooth * 2]
-    edge = [[2 * smooth, smooth / 4, smooth, 2 * smooth] for _ in range(3 * _SIZES[0])]  # labels tend to be handed down
+    node = [[[[smooth, smooth] for _ in range(n)] for _ in range(_SIZES[2])] for n in _SIZES[3:]]
+    edge = [[0.0] * 4 for _ in range(3 * _SIZES[0] * _CHILDREN)]
     for html in pages:
         # the label rides in the id, which the parser keeps, and is taken out again before features are made
         nodes, _ = parse(_GOLD.sub(r'id="gold\2" ', html))
@@ -151,13 +165,23 @@ def fit(pages: list[str], smooth: float = SMOOTH) -> Model:
         for i, f in enumerate(seen):
             if gold[i] is None:
                 continue
-            label_sum[gold[i]] += 1
-            for table, value in zip(node, f):
-                table[value][gold[i]] += 1
-            if i and gold[nodes[i].parent] is not None:
-                edge[_edge_kind(seen[nodes[i].parent])][2 * gold[nodes[i].parent] + gold[i]] += 1
-    odds = [[(b / label_sum[1]) / (a / label_sum[0]) for a, b in table] for table in node]
-    rows = [(a / (a + b), b / (a + b), c / (c + d), d / (c + d)) for a, b, c, d in edge]
+            for table, value in zip(node, f[3:]):
+                table[f[2]][value][gold[i]] += 1
+            above = gold[nodes[i].parent]
+            if i and above is not None:
+                edge[_edge_kind(seen[nodes[i].parent], f)][2 * above + gold[i]] += 1
+    odds = [[[(b / sum(x[1] for x in one)) / (a / sum(x[0] for x in one)) for a, b in one] for one in table] for table in node]
+    # the child alone stands behind what was seen of the pair, and labels handed down behind that
+    child = [[sum(edge[above * _CHILDREN + c][k] for above in range(3 * _SIZES[0])) for k in range(4)] for c in range(_CHILDREN)]
+    rows = []
+    for kind, counts in enumerate(edge):
+        row = []
+        for y, handed in ((0, (0.98, 0.02)), (1, (0.2, 0.8))):
+            few = child[kind % _CHILDREN][2 * y : 2 * y + 2]
+            base = [(n + 4 * h) / (sum(few) + 4) for n, h in zip(few, handed, strict=True)]
+            own = counts[2 * y : 2 * y + 2]
+            row += [(n + 4 * b) / (sum(own) + 4) for n, b in zip(own, base, strict=True)]
+        rows.append(tuple(row))
     return Model(odds, rows, exp(4.0))
 
 
