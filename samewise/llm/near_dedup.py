@@ -27,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components, grouped
+from ..sources.tables import written
 from . import vec
-from .components import components, grouped
-from .tables import written
 
 MISS = 1e-6
 SIGMAS = 6

@@ -1,30 +1,10 @@
-"""Tables that cut lineage, in the folder that all executors share."""
+"""Tables of the corpus."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set."""
-    told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if told:
-        return told
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="samewise-"))
-    return spark.sparkContext.getCheckpointDir()
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/samewise-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+from ..sources.tables import written
 
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -38,3 +18,6 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+__all__ = ["small_batches", "table", "written"]
