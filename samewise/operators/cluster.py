@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .compare import conflicts
+from .compare import READ, any_conflict, facts_of
 from .components import components
 
 STRENGTH = {"reviewed": 3, "high": 2, "medium": 1}
@@ -30,9 +30,9 @@ def strength(confidence: Column) -> Column:
 
 def signature_conflicts(placed: DataFrame) -> DataFrame:
     """(component, s, t) for the signatures of a component that are in hard conflict, s < t; from placed(component, sig, norm)."""
-    one = placed.groupBy("component", "sig").agg(F.first("norm").alias("norm"))
+    one = placed.groupBy("component", "sig").agg(F.first("norm").alias("norm")).withColumn("norm", facts_of(F.col("norm")))
     left, right = one.select("component", F.col("sig").alias("s"), F.col("norm").alias("x")), one.select("component", F.col("sig").alias("t"), F.col("norm").alias("y"))
-    return left.join(right, "component").where("s < t").where(F.size(conflicts(F.col("x"), F.col("y"))) > 0).select("component", "s", "t")
+    return left.join(right, "component").where("s < t").where(any_conflict(F.col("x"), F.col("y"))).select("component", "s", "t")
 
 
 def _merge(rows: list[tuple]) -> list[tuple]:
@@ -104,7 +104,7 @@ def members_of(pairs: DataFrame, items: DataFrame) -> DataFrame:
     """
     same = pairs.where(F.col("verdict") == "same")
     parts = components(same, "a", "b").withColumnRenamed("node", "row")
-    norm = F.struct(*(F.col(f"norm.{f}").alias(f) for f in SIGNATURE), F.col("norm.script").alias("script"))
+    norm = F.struct(*(F.col(f"norm.{f}").alias(f) for f in READ))
     placed = items.select(F.col("row").cast("long").alias("row"), norm.alias("norm")).join(parts, "row")
     read = [F.col(f"norm.{f}") for f in SIGNATURE if f != "dims"] + [F.col(f"norm.dims.{f}") for f in ("thread", "length_mm", "sizes_mm", "power_w", "voltage_v", "current_a", "poles")]
     placed = placed.withColumn("sig", F.xxhash64(*read, F.col("norm.script") == "arabic"))
