@@ -54,7 +54,7 @@ catalogue as (
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalogue_groups(spark, sf_dir)
+    return catalogue_export(spark, sf_dir)
 
 
 # ------------------------------------------------------------------ sources and projections
@@ -355,6 +355,12 @@ def catalogue_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("label", "size", "master", "confidence", F.array_join("reasons", " ").alias("reasons"), "name_standard", "stock_total", "stock_on_duplicates", "value_on_duplicates", "cost_low", "cost_high", "units_differ")
 
 
+@query()
+def catalogue_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of the derived catalogue with what the whole analysis adds to it."""
+    return analysis.analyse(_catalogue_items(spark, sf_dir)).export()
+
+
 GROUPED = f"""{CATALOGUE}, ranked as (
     select *, p_name || '|' || p_type || '|' || brand as grp, row_number() over (partition by p_name, p_type, brand order by (stock is not null)::int desc, coalesce(stock, 0) desc, row) as i from catalogue
 ), members as (select *, case when i = 1 then 'master' else 'duplicate' end as role from ranked qualify count(*) over (partition by grp) > 1)"""
