@@ -17,6 +17,7 @@ from .operators import candidates, cluster, compare, decisions, evaluate, figure
 from .operators.components import components
 from .plans import analysis, catalogue, workspace
 from .sources.sinks import added_columns
+from .sources.tables import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -261,10 +262,15 @@ FACTS = _FACTS.replace("@JOIN@", "x.brand = y.brand and x.size = y.size") + """,
 )"""
 
 
-def _catalogue_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _items_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogue.items_of(catalogue.derived(spark, sf_dir), ascii_only=True)
 
 
+def _catalogue_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalised once and written, as pairs join them more than once."""
+    return written(_items_plan(spark, sf_dir), "items")
+
+
 def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _catalogue_items(spark, sf_dir)
     keyed = items.select("row", F.concat_ws("|", "norm.brand", "norm.dims.thread").alias("key"), F.col("norm.brand").alias("brand"))
@@ -312,7 +318,8 @@ _NEAR = _FACTS.replace("@JOIN@", "x.noun = y.noun and x.p_type = y.p_type and x.
 
 @query(f"with {_NEAR} select a, b, score, case when brand_differs then 'brand_differs' when colour_a <> colour_b then 'colour_differs' else 'size_differs' end as reason from scored where score >= 0.75 and brand_differs::int + coalesce(colour_a <> colour_b, false)::int + size_differs::int = 1")
 def lookalike_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare.compare(_nouns(_catalogue_items(spark, sf_dir)), _catalogue_items(spark, sf_dir)).where("verdict = 'different' and lookalike").select("a", "b", "score", "reason")
+    items = _catalogue_items(spark, sf_dir)
+    return compare.compare(_nouns(items), items).where("verdict = 'different' and lookalike").select("a", "b", "score", "reason")
 
 
 @query(f"with {FACTS} select a, b, score from verdicts where verdict = 'unsure' order by score desc, a, b limit 200")
@@ -351,14 +358,14 @@ def cannot_link_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def catalogue_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole analysis of the derived catalogue."""
-    found = analysis.analyse(_catalogue_items(spark, sf_dir)).groups()
+    found = analysis.analyse(_items_plan(spark, sf_dir)).groups()
     return found.select("label", "size", "master", "confidence", F.array_join("reasons", " ").alias("reasons"), "name_standard", "stock_total", "stock_on_duplicates", "value_on_duplicates", "cost_low", "cost_high", "units_differ")
 
 
 @query()
 def catalogue_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of the derived catalogue with what the whole analysis adds to it."""
-    return analysis.analyse(_catalogue_items(spark, sf_dir)).export()
+    return analysis.analyse(_items_plan(spark, sf_dir)).export()
 
 
 GROUPED = f"""{CATALOGUE}, ranked as (
