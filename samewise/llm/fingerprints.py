@@ -192,10 +192,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     low = F.struct(F.col("id").isNotNull().alias("some"), F.coalesce("id", F.lit(0)).alias("id"), "order")
     heads = sorted((r.bucket, tuple(r.head)) for r in dealt.groupBy("bucket").agg(F.min(low).alias("head")).collect())
     before = {b: heads[i - 1][0] for i, (b, _) in enumerate(heads)}
-    known = F.lit(None).cast("int")
-    for b, (some, i, o) in heads:
-        known = F.when((F.col("bucket") == b) & (F.col("order") == o) & (F.col("id").eqNullSafe(F.lit(i if some else None).cast("long"))), F.lit(before[b])).otherwise(known)
-    targets = F.filter(F.array(F.col("bucket"), known), lambda x: x.isNotNull())
+    first = spark.createDataFrame([(b, i if some else None, o, before[b]) for b, (some, i, o) in heads], "at int, head long, head_order long, earlier int")
+    same = (F.col("bucket") == F.col("at")) & F.col("id").eqNullSafe(F.col("head")) & (F.col("order") == F.col("head_order"))
+    dealt = dealt.join(F.broadcast(first), same, "left")  # a row for each partition
+    targets = F.filter(F.array(F.col("bucket"), F.col("earlier")), lambda x: x.isNotNull())
     sent = dealt.select("id", "text", "order", F.posexplode(targets).alias("place", "target"))
     sent = sent.repartitionById(max(parts, 1), F.col("target")).sortWithinPartitions("place", F.col("id").asc_nulls_first(), "order").select("id", "text", "order", "place")
     schema = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

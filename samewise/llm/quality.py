@@ -4,7 +4,7 @@ Heuristic labellers vote bad, good or abstain on every text.  The counts of all
 vote patterns over the whole corpus (a table bounded by the labellers) go to
 expectation-maximisation, which estimates each labeller's accuracies and the
 posterior of every pattern without any gold label.  The posteriors of a bounded
-sample of texts, TRAIN_ROWS by a hash of the text, train a linear scorer
+sample of texts, TRAIN_ROWS by a hash of the text and TRAIN_BYTES in all, train a linear scorer
 on hashed features (3-grams of byte classes and word-level ratios), which scores
 all texts.
 """
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from . import vec
 
 TRAIN_ROWS = 3000
+TRAIN_BYTES = 64 << 20
 BUCKETS = 1 << 12
 KEEP_AT = 0.5
 ABSTAIN, BAD, GOOD = 0, 1, 2
@@ -197,7 +198,9 @@ def fit(docs: DataFrame, text_col: str = "text", rows: int = TRAIN_ROWS) -> Scor
     known = dict(zip(patterns.tolist(), good.tolist(), strict=True))
     # the smallest hashes among all texts; whole texts are fetched for these alone
     hashed = texts.select("text", F.xxhash64("text").alias("h"))
-    top = hashed.select("h").distinct().orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    sizes = hashed.groupBy("h").agg(F.max(F.coalesce(F.octet_length("text"), F.lit(0))).alias("n")).orderBy("h").limit(rows).collect()
+    fits = int(np.searchsorted(np.cumsum([r.n for r in sizes]), TRAIN_BYTES, side="right"))
+    top = sizes[max(0, fits - 1)].h
     picked = [r.text for r in hashed.where(F.col("h") <= top).dropDuplicates(["h"]).select("text").collect()]
     x, y = [], []
     for _, _, f in facts(pa.array(picked, pa.large_string())):

@@ -9,8 +9,8 @@ words gain nothing.  The gains of all windows are summed up in a few features,
 whose logistic weights (the calibrated thresholds on compression lengths) are
 fitted on labelled texts kept out of the dictionaries.
 
-The model is fitted on a bounded sample of labelled rows, TRAIN_ROWS for each
-class, taken by a hash of the id; its size does not grow with the corpus.
+The model is fitted on a bounded sample of labelled rows, TRAIN_ROWS and
+TRAIN_BYTES for each class, taken by a hash of the id; its size does not grow with the corpus.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TRAIN_ROWS = 3000
+TRAIN_BYTES = 32 << 20
 WINDOW = 256
 BASE_BYTES = 32768
 MIN_MATCH = 6
@@ -149,8 +150,15 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text
     prior = known.agg(F.avg("_y")).first()[0] or 0.0
     picked = known.where("_y = 1").orderBy("_h", "_id").limit(rows).union(known.where("_y = 0").orderBy("_h", "_id").limit(rows))
     found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(picked), "_id")  # 2 * rows ids
+    sizes = found.select("_y", "_h", F.coalesce(F.octet_length("_text"), F.lit(0)).alias("n")).collect()
+    within = F.lit(False)
+    for y in (0, 1):
+        own = sorted((r[1], r[2]) for r in sizes if r[0] == y)
+        fits = int(np.searchsorted(np.cumsum([n for _, n in own]), TRAIN_BYTES, side="right"))
+        if own:
+            within = within | ((F.col("_y") == y) & (F.col("_h") <= own[max(0, fits - 1)][0]))
     fold = F.pmod(F.xxhash64(F.lit("fold"), F.col("_id")), F.lit(3))
-    return [(r[0], int(r[1]), r[2] != 0) for r in found.select("_text", "_y", fold).collect()], prior
+    return [(r[0], int(r[1]), r[2] != 0) for r in found.where(within).select("_text", "_y", fold).collect()], prior
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS, at: float = PREDICT_AT) -> DataFrame:
