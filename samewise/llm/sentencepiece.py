@@ -32,6 +32,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 KNOWN_WORDS = 150_000
 LONG = 48
+#: Text encoded at a time: new words are learnt together.
+BATCH_BYTES = 1 << 20
 _NONE = np.int32(np.iinfo(np.int32).max)
 
 
@@ -100,8 +102,11 @@ class Encoder:
         self.scores = scores
         bits = 22
         self.shift = np.uint64(64 - bits)
-        self.bitmap = np.zeros(1 << bits, dtype=bool)
-        self.bitmap[self.keys >> self.shift] = True
+        slot = self.keys >> self.shift
+        self.slots = np.full(1 << bits, -1, dtype=np.int32)  # place of the key with these first bits, -2 for several
+        self.slots[slot] = np.arange(len(self.keys))
+        again = slot[1:][slot[1:] == slot[:-1]]
+        self.slots[again] = -2
 
     @staticmethod
     def _totals(points: np.ndarray) -> np.ndarray:
@@ -120,8 +125,11 @@ class Encoder:
         for length in range(1, top + 1):
             begin = (first + np.arange(n - length + 1)).reshape(-1)
             h = vec.mix((total[begin + length] - total[begin]) * inverse[begin])
-            some = np.flatnonzero(self.bitmap[h >> self.shift])
-            at = np.minimum(np.searchsorted(self.keys, h[some]), len(self.keys) - 1)
+            at = self.slots[h >> self.shift]
+            some = np.flatnonzero(at != -1)
+            at = at[some]
+            several = np.flatnonzero(at == -2)
+            at[several] = np.minimum(np.searchsorted(self.keys, h[some[several]]), len(self.keys) - 1)
             hit = self.keys[at] == h[some]
             begin, at = begin[some[hit]], at[hit]
             edges[begin // n, begin % n, length] = at
@@ -285,7 +293,7 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id"
             at = 0
             while at < batch.num_rows:
                 end, held = at + 1, int(sizes[at])
-                while end < batch.num_rows and held + sizes[end] <= vec.SLICE_BYTES:
+                while end < batch.num_rows and held + sizes[end] <= BATCH_BYTES:
                     held += int(sizes[end])
                     end += 1
                 part = texts.slice(at, end - at).to_pylist()
