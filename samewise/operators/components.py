@@ -8,6 +8,8 @@ table, so a lost executor costs at most one round.
 
 from __future__ import annotations
 
+from math import ceil
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import written
 
+FILE_ROWS = 250_000  # rows in a file of a round, about
+
 
 def _forest(batches):
     """Spanning forest of a partition's edges, each node below its root."""
@@ -67,7 +71,8 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
         if tuple(at) == seen or not at[0]:
             break
         seen = tuple(at)
-        now = written(_small(_large(now)), "stars")
+        # a round has about as many rows as the one before, so few rows need few files
+        now = written(_small(_large(now)).coalesce(ceil(at[0] / FILE_ROWS)), "stars")
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     heads = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
