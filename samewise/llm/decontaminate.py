@@ -139,7 +139,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
                         kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
                         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[id_col, item_col, "coverage", "words_marked", "words", "tiles"])
 
-        part = base.mapInArrow(scan, schema)
+        part = base.mapInArrow(vec.tidy(scan), schema)
         found = part if found is None else found.union(part)
     return found if found is not None else spark.createDataFrame([], schema)
 
@@ -159,5 +159,5 @@ def without_leaks(docs: DataFrame, bench: DataFrame, text_col: str = "text", ite
                         keep[s.first + row] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = docs.mapInArrow(vec.tidy(clean), docs.schema)
     return docs

@@ -203,7 +203,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     threshold = num / den
     bands, rows = bands_for(threshold)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = written(base.mapInArrow(_signer(k, bands, rows), "id long, n long, set_a long, set_b long, bands array<long>, sig binary"), "signed")
+    signed = written(base.mapInArrow(vec.tidy(_signer(k, bands, rows)), "id long, n long, set_a long, set_b long, bands array<long>, sig binary"), "signed")
 
     classes = signed.where("n > 0").groupBy("set_a", "set_b", "n").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")).where("rep is not null")
     dealt = classes.select("rep", "n", F.explode("bands").alias("bucket"))
@@ -221,7 +221,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spokes = shared.join(centre, "bucket").where((F.col("rep") != F.col("centre")) & near)
     pairs = spokes.select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
     both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    first = written(both.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(k, num, den), "a long, b long"), "spokes")
+    first = written(both.select("a", "b", "text_a", "text_b").mapInArrow(vec.tidy(_verifier(k, num, den)), "a long, b long"), "spokes")
 
     some = components(first, "a", "b")
     placed = shared.join(some.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
@@ -229,13 +229,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blocks = F.ceil(F.col("held") / BLOCK).cast("int")
     left = written(placed.join(mixed.select("bucket", blocks.alias("blocks")), "bucket").select("bucket", "rep", "n", "comp", "blocks"), "left")
     open_reps = left.select(F.col("rep").alias("id")).distinct()
-    sets = texts.join(open_reps, "id", "left_semi").select("id", "text").mapInArrow(_sets(k), "id long, shingles binary")
+    sets = texts.join(open_reps, "id", "left_semi").select("id", "text").mapInArrow(vec.tidy(_sets(k)), "id long, shingles binary")
     sets = sets.join(classes.select(F.col("rep").alias("id"), F.col("n").alias("set_n"), "sig", "bands"), "id").where(F.length("shingles") == 8 * F.col("set_n")).withColumnRenamed("id", "rep")
     left = left.join(sets, "rep").where("n = set_n").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     left = left.select("bucket", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), F.col("rep").alias("id"), "n", "comp", "block", "sig", "bands", "shingles")
     left = left.repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
-    second = written(left.mapInArrow(_blocks(threshold, bands * rows, num, den), "a long, b long"), "rest")
+    second = written(left.mapInArrow(vec.tidy(_blocks(threshold, bands * rows, num, den)), "a long, b long"), "rest")
 
     whole = components(first.union(second), "a", "b").withColumnRenamed("node", "rep")
     groups = classes.select("set_a", "set_b", "n", "rep").join(whole, "rep", "left").select("set_a", "set_b", "n", F.coalesce("component", "rep").alias("group"))

@@ -190,7 +190,7 @@ class Scorer:
 def fit(docs: DataFrame, text_col: str = "text", rows: int = TRAIN_ROWS) -> Scorer:
     """The weak-label model of all texts of docs and a scorer trained on at most ``rows`` of them."""
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    held = texts.mapInArrow(_votes, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
+    held = texts.mapInArrow(vec.tidy(_votes), "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
     patterns, counts = np.array([r.pattern for r in held], dtype=np.int64), np.array([r.n for r in held], dtype=np.int64)
     if not len(patterns):
         return Scorer(patterns, np.zeros(0), np.zeros(BUCKETS, dtype=np.float32))
@@ -223,7 +223,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(patterns), pa.array(posterior), pa.array(scores)], names=["id", "votes", "posterior", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    scored = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(score, f"id {kind}, votes long, posterior double, score double")
+    scored = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(vec.tidy(score), f"id {kind}, votes long, posterior double, score double")
     return scored.select(F.col("id").alias(id_col), "votes", "posterior", "score", (F.col("score") >= at).cast("int").alias("predicted"))
 
 
@@ -237,4 +237,4 @@ def accepted(docs: DataFrame, text_col: str = "text", rows: int = TRAIN_ROWS, at
             for first, last, _, _, scores in sent.value.rows(batch.column(column)):
                 yield batch.slice(first, last - first).filter(pa.array(scores >= at))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(vec.tidy(keep), docs.schema)

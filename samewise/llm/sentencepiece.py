@@ -30,7 +30,7 @@ from . import vec
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-KNOWN_WORDS = 150_000
+KNOWN_WORDS = 60_000
 LONG = 48
 #: Text encoded at a time: new words are learnt together.
 BATCH_BYTES = 1 << 20
@@ -100,7 +100,7 @@ class Encoder:
         scores = np.array([p.score[x] for x in names])[order]
         self.ranks = np.unique(-scores, return_inverse=True)[1].astype(np.int32)
         self.scores = scores
-        bits = 22
+        bits = 20
         self.shift = np.uint64(64 - bits)
         slot = self.keys >> self.shift
         self.slots = np.full(1 << bits, -1, dtype=np.int32)  # place of the key with these first bits, -2 for several
@@ -304,7 +304,7 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id"
 
     kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return base.mapInArrow(run, f"id {kind}, n_tokens long, ids array<int>, exact boolean").withColumnRenamed("id", id_col)
+    return base.mapInArrow(vec.tidy(run), f"id {kind}, n_tokens long, ids array<int>, exact boolean").withColumnRenamed("id", id_col)
 
 
 def decode(rows: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -11,6 +11,8 @@ Arrow batch is a small multiple of the slice or of the longest text.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,6 +38,20 @@ _LOWER[ord("A") : ord("Z") + 1] += 32
 _powers: dict[int, np.ndarray] = {}
 
 
+def tidy(function):
+    """For a function over Arrow batches: a worker that waits for its next task gives freed memory back."""
+
+    @functools.wraps(function)
+    def run(batches):
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+        if trim is not None:
+            trim(0)
+
+    return run
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
     have = _powers.get(base)
