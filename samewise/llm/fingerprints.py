@@ -2,11 +2,8 @@
 
 A text's elements are its k-mers of K bytes that begin at a code point, each
 numbered by its occurrence in the text.  For each of SIZE orders the two
-smallest elements are taken, put back into text order and hashed as a pair, so
+smallest of all elements are taken, put back into text order and hashed as a pair, so
 the part of equal components follows edit distance, not only shared content.
-In every order the k-mers chosen by their own hash (one of ANCHORS) come before
-all others; a text with two of them needs no others, which keeps the work small
-and the fingerprints of all lengths comparable.
 """
 
 from __future__ import annotations
@@ -23,9 +20,7 @@ from . import vec
 
 K = 8
 SIZE = 64
-ANCHORS = 8
 U64 = np.uint64
-_TOP = U64(1 << 63)
 _MAX = np.iinfo(np.uint64).max
 _rng = np.random.default_rng(6)
 _ODD = _rng.integers(0, 1 << 63, SIZE, dtype=U64) * U64(2) + U64(1)
@@ -65,15 +60,11 @@ def _sketch(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     doc = doc_of[begin]
     end = np.minimum(begin + K, offsets[doc + 1])
     h = vec.mix((total[end] - total[begin]) * vec.powers(vec.BASE_INV, n)[begin])
-    anchor = (h % U64(ANCHORS)) == 0
-    few = np.bincount(doc[anchor], minlength=rows) < 2
-    use = anchor | few[doc]
-    h, doc, anchor = h[use], doc[use], anchor[use]
     if not len(h):
         return out
     e = vec.mix(h + _occurrences(h, doc) * U64(0xC2B2AE3D27D4EB4F))
     bits = U64(max(1, int(len(h) - 1).bit_length()))
-    at = np.arange(len(h), dtype=U64) | np.where(anchor, U64(0), _TOP)
+    at = np.arange(len(h), dtype=U64)
     high = U64(int(_MAX) >> 1 & ~((1 << int(bits)) - 1))
     low = U64((1 << int(bits)) - 1)
     starts = np.concatenate([[0], np.flatnonzero(doc[1:] != doc[:-1]) + 1])

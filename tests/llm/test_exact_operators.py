@@ -124,3 +124,35 @@ def test_fingerprints_follow_edits():
     halves = text[1500:] + text[:1500]
     a, b = fp.sketches([text.encode(), halves.encode()])
     assert (a == b).mean() < 0.75  # moved blocks cost, though the content is the same
+
+
+def plain_sketch(text):
+    """The two smallest of all k-mers in every order, one by one."""
+    top, raw, seen, e = (1 << 64) - 1, text.encode(), Counter(), []
+    starts = [i for i in range(len(raw)) if raw[i] & 0xC0 != 0x80]
+    starts = [i for i in starts if i + fp.K <= len(raw)] or starts[:1]
+    for i in starts if len(raw) >= fp.K else [0]:
+        part = raw[i : i + fp.K]
+        h = int(fp.vec.mix(np.array([sum((c + 1) * pow(fp.vec.BASE, j, 1 << 64) for j, c in enumerate(part)) & top], dtype=np.uint64))[0])
+        e.append(h + seen[h] * 0xC2B2AE3D27D4EB4F & top)
+        seen[h] += 1
+    e = [int(x) for x in fp.vec.mix(np.array(e, dtype=np.uint64))]
+    out = []
+    for p, odd in enumerate(fp._ODD.tolist()):
+        chosen = sorted(sorted(range(len(e)), key=lambda i: e[i] * odd & top)[:2])
+        a, b = e[chosen[0]], e[chosen[1]] if len(chosen) > 1 else 0
+        out.append(int(fp.vec.mix(np.array([a * fp.vec.STEP + b + p & top], dtype=np.uint64))[0]) >> 48)
+    return out
+
+
+def test_fingerprints_are_of_all_kmers():
+    texts = ["one", "a few words", "again and again and again and again", "日本語のテキスト 😀 été", "".join(np.random.default_rng(4).choice(list("abcdefgh "), 700))]
+    assert fp.sketches([t.encode() for t in texts]).tolist() == [plain_sketch(t) for t in texts]
+
+
+def test_fingerprints_of_short_texts_are_graded():
+    rnd = np.random.default_rng(5)
+    texts = ["".join(rnd.choice(list("abcdefghijklmnop"), 24)) for _ in range(300)]
+    a, b = fp.sketches([t.encode() for t in texts]), fp.sketches([(t[:-1] + "z").encode() for t in texts])
+    likes = (a == b).mean(axis=1)  # 16 of 17 k-mers are common, so a pair of common ones is expected in 16 * 15 of 18 * 17 cases
+    assert abs(likes.mean() - 0.784) < 0.04 and likes.min() > 0.4 and likes.max() < 1
