@@ -2,7 +2,9 @@
 
 Only block elements become nodes; inline markup is dropped and its text belongs
 to the block around it.  Every run of inline text ends at a block boundary or at
-a line break.  Elements that hold no text of the page are skipped.
+a line break.  Elements that hold no text of the page are skipped: those of raw
+text up to their end tag, as browsers do; others are parsed, and end with their
+end tag or with the block around them, so one left open hides no more than that.
 """
 
 from __future__ import annotations
@@ -30,7 +32,13 @@ GROUPS = {
     "table": "table thead tbody tfoot tr td th caption",
     "quote": "blockquote pre figure figcaption details summary",
 }
-SKIPPED = "script style noscript template svg iframe textarea title object canvas audio video math"
+RAW = "script style iframe textarea title"
+SKIPPED = frozenset("noscript template svg object canvas audio video math".split())
+#: Blocks within one of these do not end the paragraph around it.
+_PARTED = frozenset("noscript template object".split())
+#: Where HTML begins within svg; elsewhere in it these and blocks end it.
+_HTML_IN_SVG = frozenset("foreignobject desc".split())
+_NOT_SVG = frozenset("b big br code em embed hr i img nobr ruby s small span strike strong sub sup tt u var".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE_FORM = frozenset("button label select option".split())
 
@@ -54,7 +62,8 @@ _TAG = re.compile(
 )
 _ATTRS = re.compile(r"(?:^|[\s\"'])(class|id|role|itemprop|data-component)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in SKIPPED.split()}
+_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in RAW.split()}
+_NEXT = {name: re.compile(rf"<(/?){name}(?=[\s/>])", re.I) for name in _PARTED}
 
 
 class Node:
@@ -77,9 +86,35 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
     stack = [0]
     runs: list[tuple[int, str]] = []
     pending: list[str] = []
+    skip: list[str] = []  # an open element without text of the page, and what is open in it
+    parted = False
     links = linked = 0
     at = 0
 
+    def staying(name: str) -> int:
+        """How many of the open nodes stay open as a block begins."""
+        size = len(stack)
+        if name != "head" and nodes[stack[-1]].name == "head":
+            size -= 1
+        if name not in INLINE_FORM:
+            for depth in range(size - 1, 0, -1):  # a block ends an open paragraph
+                held = nodes[stack[depth]].name
+                if held == "p":
+                    size = depth
+                    break
+                if held in _HOLDS_P or BLOCKS[held] not in (GROUP_NAMES.index("heading"),):
+                    break
+        if name in _CLOSED_BY:
+            ended, bound = _CLOSED_BY[name]
+            for depth in range(size - 1, 0, -1):
+                held = nodes[stack[depth]].name
+                if held in bound:
+                    break
+                if held in ended:
+                    size = depth
+                    break
+        return size
+
     def flush() -> None:
         nonlocal linked
         if pending:
@@ -96,9 +131,10 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
     while True:
         m = _TAG.search(html, at)
         if m is None:
-            pending.append(html[at:])
+            if not skip:
+                pending.append(html[at:])
             break
-        if m.start() > at:
+        if m.start() > at and not skip:
             text = html[at : m.start()]
             pending.append(text)
             if links:
@@ -106,7 +142,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
         at = m.end()
         name = m["name"] or m["name2"]
         if name is None:
-            if m["cdata"]:
+            if m["cdata"] and not skip:
                 pending.append(m["cdata"].replace("&", "&amp;"))
             continue
         name = name.lower()
@@ -117,14 +153,38 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 end = _ENDS[name].search(html, at)
                 at = end.end() if end else len(html)
             continue
+        if skip and skip[-1] == "svg" and not closing and (name in BLOCKS or name in _NOT_SVG):
+            skip.pop()
+        if name in SKIPPED or skip and name in _HTML_IN_SVG:
+            if closing:
+                if name in skip:
+                    del skip[len(skip) - 1 - skip[::-1].index(name) :]
+            elif not attrs.endswith("/"):
+                if not skip:
+                    following = _NEXT[name].search(html, at) if name in _PARTED else None
+                    parted = bool(following and following[1])
+                skip.append(name)
+            continue
         if name == "a":
             links = max(0, links - 1) if closing else links + 1
             continue
         if name in ("br", "hr"):
-            flush()
+            if not skip:
+                flush()
             continue
         if name not in BLOCKS:
             continue
+        if skip:
+            if closing and name in skip:
+                del skip[len(skip) - 1 - skip[::-1].index(name) :]
+                continue
+            if closing and (name in ("html", "body") or all(nodes[i].name != name for i in stack)):
+                continue
+            if not closing and (parted or not _HTML_IN_SVG.isdisjoint(skip) or name != "body" and staying(name) == len(stack)):
+                if not attrs.endswith("/"):
+                    skip.append(name)
+                continue
+            skip.clear()  # the block around it ends
         flush()
         links = 0
         if closing:
@@ -139,25 +199,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         if name == "body" and any(nodes[i].name == "body" for i in stack):
             continue
-        if name != "head" and nodes[stack[-1]].name == "head":
-            stack.pop()
-        if name not in INLINE_FORM:
-            for depth in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
-                held = nodes[stack[depth]].name
-                if held == "p":
-                    del stack[depth:]
-                    break
-                if held in _HOLDS_P or BLOCKS[held] not in (GROUP_NAMES.index("heading"),):
-                    break
-        if name in _CLOSED_BY:
-            ended, bound = _CLOSED_BY[name]
-            for depth in range(len(stack) - 1, 0, -1):
-                held = nodes[stack[depth]].name
-                if held in bound:
-                    break
-                if held in ended:
-                    del stack[depth:]
-                    break
+        del stack[staying(name) :]
         nodes.append(Node(name, stack[-1], attrs))
         if not attrs.endswith("/"):
             stack.append(len(nodes) - 1)

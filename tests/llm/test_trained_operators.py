@@ -143,3 +143,20 @@ def test_extraction_edges(spark):
 def test_public_pages_give_their_articles(spark, data):
     for r in ex.extract(spark.read.parquet(f"{data}/pages.parquet")).collect():
         assert r.text and "©" not in r.text
+
+
+def run_texts(html):
+    return [text for _, text in ex.parse(html)[1]]
+
+
+def test_elements_left_open_hide_no_more_than_their_block():
+    for name in ("video", "audio", "canvas", "svg", "object", "noscript", "template"):
+        assert run_texts(f"<div><p>before<{name} id=a>in it<p>article<p>more</div><p>after") == ["before", "article", "more", "after"]
+        assert run_texts(f"<ul><li>one<{name}>in it<li>two</ul>end <{name}>x</{name}>of it") == ["one", "two", "end of it"]
+        assert run_texts(f"<div>a<{name}><g>in it</div>b<p>c<{name}>x</{name}></p>d") == ["a", "b", "c", "d"]
+    for name in ("video", "audio", "canvas", "object", "noscript", "template"):
+        assert run_texts(f"<div>a <{name}><div><p>x</p></div>y</{name}> b</div>c") == ["a b", "c"]
+        assert run_texts(f"<div>a <{name}>x<br>y</{name}> b</div>") == ["a b"]
+    assert run_texts("<p>a <noscript><p>x</p></noscript>b</p>") == ["a b"]
+    assert run_texts("<p>a <svg><foreignObject><div>x</div></foreignObject><text>y</text></svg>b</p>") == ["a b"]
+    assert run_texts("<p>a</p><script>x<p>y") == ["a"]
