@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import zlib
 
 import numpy as np
@@ -160,3 +161,14 @@ def test_elements_left_open_hide_no_more_than_their_block():
     assert run_texts("<p>a <noscript><p>x</p></noscript>b</p>") == ["a b"]
     assert run_texts("<p>a <svg><foreignObject><div>x</div></foreignObject><text>y</text></svg>b</p>") == ["a b"]
     assert run_texts("<p>a</p><script>x<p>y") == ["a"]
+
+
+def test_attribute_values_of_any_length():
+    for n in (10, 9_000, 50_000):
+        for q in "'\"":
+            value = "<b>bold</b><p>text</p> " * (n // 20)
+            assert run_texts(f"<div data-props={q}{value}{q} class=x>Article</div><p a = {q}>{q}>more") == ["Article", "more"]
+    assert run_texts("<p class=x\">one<p class=\"y\"\">two<p a=b=\">three<p a=>four<p a='>five") == ["one", "two", "three", "four", "five"]
+    start = time.perf_counter()
+    assert len(run_texts("<p a='\">x" * 40_000)) and run_texts("<p " + "a=\"" * 100_001 + ">x") == ["x"]
+    assert time.perf_counter() - start < 20
