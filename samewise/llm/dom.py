@@ -33,7 +33,7 @@ GROUPS = {
     "quote": "blockquote pre figure figcaption details summary",
 }
 RAW = "script style iframe textarea title"
-SKIPPED = frozenset("noscript template svg object canvas audio video math".split())
+SKIPPED = frozenset("noscript template svg object canvas audio video annotation annotation-xml".split())
 #: Blocks within one of these do not end the paragraph around it.
 _PARTED = frozenset("noscript template object".split())
 #: Where HTML begins within svg; elsewhere in it these and blocks end it.
@@ -155,6 +155,8 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         if skip and skip[-1] == "svg" and not closing and (name in BLOCKS or name in _NOT_SVG):
             skip.pop()
+        if name == "math" and closing and skip and skip[0].startswith("annotation"):
+            skip.clear()
         if name in SKIPPED or skip and name in _HTML_IN_SVG:
             if closing:
                 if name in skip:

@@ -172,3 +172,9 @@ def test_attribute_values_of_any_length():
     start = time.perf_counter()
     assert len(run_texts("<p a='\">x" * 40_000)) and run_texts("<p " + "a=\"" * 100_001 + ">x") == ["x"]
     assert time.perf_counter() - start < 20
+
+
+def test_formulas_stay_in_their_paragraph():
+    assert run_texts("<p>Let <math><mi>x</mi></math> be</p>") == ["Let x be"]
+    assert run_texts("<p>Let <math><semantics><mi>x</mi><annotation encoding=a>\\\\x</annotation></semantics></math> be</p>") == ["Let x be"]
+    assert run_texts("<p>Let <math><semantics><mi>x</mi><annotation>\\\\x</math> be</p>") == ["Let x be"]
