@@ -59,12 +59,14 @@ class Templates:
         rng = np.random.default_rng(20)
         self.odd = rng.integers(0, 1 << 63, PERMUTATIONS, dtype=U64) * U64(2) + U64(1)
         self.sets: list[np.ndarray] = []
+        self.offsets: list[np.ndarray] = []
         self.widths: dict[int, list[int]] = {}
         for i, text in enumerate(templates.values()):
             s = next(vec.slices(pa.array([text]), space=vec.PUNCTUATION))
             if len(s.words) < k:
                 raise ValueError(f"template {self.names[i]} has fewer than {k} words")
-            self.sets.append(np.unique(vec.grams(s.words, k)))
+            for held, x in zip((self.sets, self.offsets), np.unique(vec.grams(s.words, k), return_index=True), strict=True):
+                held.append(x)
             width = 8
             while 7 * width < 8 * len(s.words):
                 width *= 2
@@ -73,14 +75,16 @@ class Templates:
         every = np.unique(np.concatenate(self.sets)) if self.sets else np.zeros(0, U64)
         self.index = vec.Index(every, every)
 
-    def scan(self, h: np.ndarray, hits: np.ndarray) -> list[tuple[int, float, int, int]]:
+    def scan(self, h: np.ndarray, hits: np.ndarray, containment: float) -> list[tuple[int, float, int, int]]:
         """(template, containment, first word, last word) of one text, from its shingles and where templates' shingles stand.
 
-        Of a template only the best place, the first of equals, is given; it
-        gives way to a template better contained in words it shares (another
-        version of the same license).
+        Every place of a template is given.  Of places of it that overlap, runs in
+        the template's order come first, as they part notices that stand side by side.  A
+        place gives way to that of a template better contained in words it
+        shares (another version of the same license).
         """
-        best: dict[int, tuple[float, int, int]] = {}
+        runs: dict[int, set] = {}
+        bags: dict[int, set] = {}
         for width, members in self.widths.items():
             step, span = width // 8, width - self.k + 1
             first = np.maximum(0, -(-(hits - span + 1) // step))
@@ -94,14 +98,30 @@ class Templates:
                     low = max(0, begin - width // 2)
                     wide = h[low : begin + span + width // 2]
                     inside = np.flatnonzero(np.isin(wide, self.sets[i]))
-                    part_held = len(np.unique(wide[inside])) / len(self.sets[i])
-                    if part_held > best.get(i, (0.0,))[0]:
-                        best[i] = (part_held, int(low + inside[0]), int(low + inside[-1]) + self.k)
-        return [(i, *x) for i, x in sorted(best.items()) if not any(y[0] > x[0] and y[1] < x[2] and x[1] < y[2] for y in best.values())]
+                    rank = np.searchsorted(self.sets[i], wide[inside])
+                    size = len(self.sets[i])
+                    for kind, cuts in ((bags, []), (runs, np.flatnonzero(np.diff(self.offsets[i][rank]) <= 0) + 1)):
+                        for at, own in zip(np.split(inside, cuts), np.split(rank, cuts), strict=True):
+                            held = len(np.unique(own)) / size
+                            if held >= containment:
+                                kind.setdefault(i, set()).add((held, int(low + at[0]), int(low + at[-1]) + self.k))
+        places = []
+        for i in sorted(bags):
+            best = lambda x: (-x[0], x[2] - x[1], x[1])
+            chosen: list[tuple[float, int, int]] = []
+            for x in sorted(runs.get(i, ()), key=best):
+                if not any(y[1] < x[2] and x[1] < y[2] for y in chosen):
+                    chosen.append(x)
+            for x in sorted(bags[i], key=best):
+                over = [y for y in chosen if y[1] < x[2] and x[1] < y[2]]
+                if not over or len(over) == 1 and over[0][0] < x[0]:
+                    chosen = [y for y in chosen if y not in over] + [x]
+            places += [(i, *x) for x in sorted(chosen, key=lambda x: x[1])]
+        return [x for x in places if not any(y[1] > x[1] and y[2] < x[3] and x[2] < y[3] for y in places)]
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", k: int = K, containment: float = CONTAINMENT) -> DataFrame:
-    """(id, license, containment, first_word, end_word) for every document and template at or above the containment.
+    """(id, license, containment, first_word, end_word) for every place in a document that holds a template at or above the containment.
 
     Words are ASCII letters and digits and other bytes of UTF-8, lower-cased.
     Null, empty and shorter texts match nothing; repeated rows give repeated
@@ -123,9 +143,8 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, id_co
                 rows = []
                 for d in np.unique(s.doc[at]):
                     a, b = bounds[d], bounds[d + 1]
-                    for i, part, low, high in t.scan(h[a : b - k + 1], at[s.doc[at] == d] - a):
-                        if part >= containment:
-                            rows.append((ids[s.first + int(d)].as_py(), t.names[i], part, low, high))
+                    for i, part, low, high in t.scan(h[a : b - k + 1], at[s.doc[at] == d] - a, containment):
+                        rows.append((ids[s.first + int(d)].as_py(), t.names[i], part, low, high))
                 if rows:
                     kinds = [pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64()]
                     yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=[id_col, "license", "containment", "first_word", "end_word"])

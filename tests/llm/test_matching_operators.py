@@ -129,3 +129,18 @@ def test_viterbi_is_the_best_sum():
         back = {i: p for p, i in pieces.ids.items()}
         assert "".join(back[i] for i in ids) == word
         assert abs(sum(pieces.score[back[i]] for i in ids) - best(word)[0]) < 1e-9
+
+
+def test_every_place_of_a_license(spark):
+    mit, gpl, agpl = (licenses.TEMPLATES[k] for k in ("MIT", "GPL", "AGPL"))
+    n = len(mit.replace("/", " ").split())
+    filler = " ".join(f"filler{i}" for i in range(300))
+    near = gpl.replace("Foundation", "Fund").replace("This program is", "It is")
+    notice = "Released under the MIT License."
+    rows = [(1, f"{mit} {filler} {mit}"), (2, f"{mit} {mit}"), (3, f"{agpl} {filler} {near}"), (4, f"{notice} {notice} {notice}"), (5, f"{gpl} {agpl}")]
+    found = {}
+    for r in licenses.license_scan(docs(spark, rows)).orderBy("doc_id", "first_word").collect():
+        found.setdefault(r.doc_id, []).append((r.license, r.first_word, r.end_word))
+    assert found[1] == [("MIT", 0, n), ("MIT", n + 300, 2 * n + 300)] and found[2] == [("MIT", 0, n), ("MIT", n, 2 * n)]
+    assert [x[0] for x in found[3]] == ["AGPL", "GPL"] and [x[0] for x in found[5]] == ["GPL", "AGPL"]
+    assert found[4] == [("MIT (notice)", 5 * i, 5 * i + 5) for i in range(3)]
