@@ -154,7 +154,7 @@ def brand_alias_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select p_partkey, case when split_part(p_name, ' ', 2) = 'bolt' then 'bolt' else '' end as types, case when split_part(p_name, ' ', 1) in ('red', 'blue') then split_part(p_name, ' ', 1) else '' end as colours from part")
 def dictionary_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = tx.words(tx.normalise_text(F.col("p_name"), ascii_only=True))
+    words = tx.words(tx.normalise_text(F.col("p_name")))
     return read(spark, sf_dir, "part").select("p_partkey", F.array_join(tx.found(words, lx.TYPES), "/").alias("types"), F.array_join(tx.found(words, lx.COLOURS), "/").alias("colours"))
 
 
@@ -263,7 +263,7 @@ FACTS = _FACTS.replace("@JOIN@", "x.brand = y.brand and x.size = y.size") + """,
 
 
 def _items_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalogue.items_of(catalogue.derived(spark, sf_dir), ascii_only=True)
+    return catalogue.items_of(catalogue.derived(spark, sf_dir))
 
 
 def _catalogue_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -474,7 +474,7 @@ def export_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _members(spark, sf_dir)
     members = m.select("row", "role", F.col("grp").alias("label"), F.lit("high").alias("confidence"), F.array(F.lit("")).alias("reasons"), F.lit("").alias("name_standard"), F.lit(None).cast("double").alias("stock_total"), F.lit(None).cast("double").alias("value_on_duplicates"))
     base = catalogue.derived(spark, sf_dir)
-    norm = F.struct(at.brand_key(F.col("brand"), ascii_only=True).alias("brand"), F.lit(None).cast("string").alias("part_base"), F.array().cast("array<string>").alias("variants"))
+    norm = F.struct(at.brand_key(F.col("brand")).alias("brand"), F.lit(None).cast("string").alias("part_base"), F.array().cast("array<string>").alias("variants"))
     items = base.select("row", "code", norm.alias("norm"), F.lit(True).alias("analysed"))
     ahead = base.select((F.col("row") - 1).alias("a"), F.col("row").alias("b"))
     near = base.where("row % 10 = 0").select(F.col("row").alias("a")).join(ahead, "a")

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from samewise import queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -43,3 +44,14 @@ def test_rows(spark, data, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_registered_queries_normalise_unicode(spark, tmp_path, monkeypatch):
+    rows = [(1, "1", "ｒｅｄ ｂｏｌｔ Ｍ５", "ＡＢＢ", 4.0, 2.0)]
+    frame = spark.createDataFrame(rows, "row long, code string, name string, brand string, stock double, unit_cost double")
+    monkeypatch.setattr(queries.catalogue, "derived", lambda *_: frame)
+    norm = queries._items_plan(spark, "").first().norm
+    assert (norm.text, norm.brand, norm.types, norm.colours) == ("red bolt m5", "abb", ["bolt"], ["red"])
+    spark.createDataFrame([(1, "ｒｅｄ ｂｏｌｔ")], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    found = entry.queries()["dictionary_types"](spark, str(tmp_path)).first()
+    assert (found.types, found.colours) == ("bolt", "red")
