@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import written
+from ..sources.tables import remove, written
 
 FILE_ROWS = 250_000  # rows in a file of a round, about
 
@@ -57,14 +57,16 @@ def _small(edges: DataFrame) -> DataFrame:
     return hung.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str, rounds: int = 60, scratch: list[str] | None = None) -> DataFrame:
     """(node, component) for every node on an edge; component is the smallest node reachable.
 
-    Loops and repeated edges are ignored, no edges give no rows.
+    Loops and repeated edges are ignored, no edges give no rows.  The last
+    round's table stays; its path goes to scratch.
     """
     spark = edges.sparkSession
     pairs = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
-    now = written(pairs.mapInArrow(_forest, "u long, v long"), "forest")
+    held: list[str] = []
+    now = written(pairs.mapInArrow(_forest, "u long, v long"), "forest", held)
     seen = None
     for _ in range(rounds):
         at = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
@@ -72,9 +74,13 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
             break
         seen = tuple(at)
         # a round has about as many rows as the one before, so few rows need few files
-        now = written(_small(_large(now)).coalesce(ceil(at[0] / FILE_ROWS)), "stars")
+        before, held = held, []
+        now = written(_small(_large(now)).coalesce(ceil(at[0] / FILE_ROWS)), "stars", held)
+        remove(spark, before)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
+    if scratch is not None:
+        scratch += held
     heads = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(heads) if at[0] else spark.createDataFrame([], "node long, component long")
 
