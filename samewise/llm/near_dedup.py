@@ -11,11 +11,17 @@ smallest id.  Representatives are banded; b bands of r slots are chosen so that
 a pair exactly at the threshold is missed with a probability of at most
 ``MISS``.  In every bucket all members are first compared with one centre, the
 member whose buckets are largest; what is joined so is contracted.  Then all
-pairs of a bucket that still lie in different components are compared within
-blocks of bounded size, first by signature (a bound ``SIGMAS`` deviations below
-the threshold) and then by full sets.  No link between different texts is left out
+pairs of a bucket that still lie in different components are compared in blocks
+of bounded size: the bucket's largest component against all that lies outside
+it, and the latter among itself.  So many near copies beside a few strays are
+copied once for each block of strays, not once for each block of the bucket.
+Pairs are looked at first by signature (a bound ``SIGMAS`` deviations below the
+threshold) and then by full sets.  No link between different texts is left out
 but by those two stated probabilities, and no bucket is ever expanded into all
 its pairs.  Links are confirmed on the full shingle sets, read from the texts.
+
+Equal texts are one row in all of this; rows join their class at the end, by a
+join that adaptive execution can split where a class has very many copies.
 """
 
 from __future__ import annotations
@@ -26,14 +32,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..operators.components import components, grouped
-from ..sources.tables import written
+from ..sources.tables import remove, written
 from . import vec
 
 MISS = 1e-6
 SIGMAS = 6
-#: Shingles held by a block of a bucket's members; a task holds two blocks.
+#: Shingles held by a block of a bucket's members, about; a task holds two blocks.
 BLOCK = 1 << 19
 U64 = np.uint64
 GOLD = U64(0x9E3779B97F4A7C15)
@@ -150,7 +157,7 @@ def _sets(k: int):
 
 
 def _blocks(threshold: float, m: int, num: int, den: int):
-    """Links within a block, or between two, of members that lie in different components.
+    """Links between the two sides of a block, or within it where both sides are one, of members in different components.
 
     A pair is looked at in the first bucket that it shares.  What is linked here is
     one component from then on, so few more links are found than needed.
@@ -169,8 +176,8 @@ def _blocks(threshold: float, m: int, num: int, den: int):
             band = int(np.flatnonzero(bands[0] == bucket)[0])
             sets = [np.frombuffer(v, dtype=U64) for v in t.column("shingles").to_pylist()]
             left, right = [], []
-            for i in np.flatnonzero(own == x):
-                ok = (comp != comp[i]) & (den * np.minimum(n, n[i]) >= num * np.maximum(n, n[i])) & (own == y)
+            for i in np.flatnonzero(own == y):  # the side outside the largest component
+                ok = (comp != comp[i]) & (den * np.minimum(n, n[i]) >= num * np.maximum(n, n[i])) & (own == x)
                 if x == y:
                     ok[: i + 1] = False
                 ok = np.flatnonzero(ok)
@@ -189,29 +196,34 @@ def _blocks(threshold: float, m: int, num: int, den: int):
     return emit
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(id, n_shingles, component_id, kept) for every row of docs.
+def _dealt(placed: DataFrame) -> DataFrame:
+    """(bucket, bi, bj, rep, n, comp, block) of the members of buckets that hold several components.
 
-    Two texts are linked if den * |A & B| >= num * |A | B| for their sets of
-    k-word shingles.  Null or empty texts and texts without words have an empty
-    set and are linked with nothing.  Rows that share an id are grouped each by its
-    own text; classes with the same smallest id are one node.  A row with a null
-    id joins the group of its equals (component null if all of these have null
-    ids).  An empty table gives no rows; other columns of docs, whatever their
-    names, are not read.
+    Blocks of the largest component (by shingles) have numbers below 0, blocks of the
+    rest from 0.  A block of the largest meets every block of the rest, and
+    blocks of the rest meet each other; bi <= bj.
     """
-    threshold = num / den
-    bands, rows = bands_for(threshold)
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = written(base.mapInArrow(vec.tidy(_signer(k, bands, rows)), "id long, n long, set_a long, set_b long, bands array<long>, sig binary"), "signed")
-
+    held = placed.groupBy("bucket", "comp").agg(F.sum("n").alias("held"))
+    sides = held.groupBy("bucket").agg(F.max(F.struct("held", "comp")).alias("most"), F.sum("held").alias("whole"), F.count("*").alias("comps")).where("comps > 1")
+    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+    sides = sides.select("bucket", F.col("most.comp").alias("main"), blocks(F.col("most.held")).alias("mains"), blocks(F.col("whole") - F.col("most.held")).alias("rests"))
+    df = placed.join(sides, "bucket").withColumn("inside", F.col("comp") == F.col("main"))
+    number = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    df = df.withColumn("block", F.when(F.col("inside"), -1 - number(F.col("mains"))).otherwise(number(F.col("rests"))))
+    rests = F.sequence(F.lit(0), F.col("rests") - 1)
+    df = df.withColumn("other", F.explode(F.when(F.col("inside"), rests).otherwise(F.concat(F.sequence(-F.col("mains"), F.lit(-1)), rests))))
+    return df.select("bucket", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "rep", "n", "comp", "block")
+
+
+def _groups(base: DataFrame, signed: DataFrame, k: int, num: int, den: int, bands: int, rows: int, scratch: list[str]) -> DataFrame:
+    """(set_a, set_b, n, group) for the classes of equal sets that are linked with another one; group is the smallest representative."""
     classes = signed.where("n > 0").groupBy("set_a", "set_b", "n").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")).where("rep is not null")
     dealt = classes.select("rep", "n", F.explode("bands").alias("bucket"))
     full = dealt.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    shared = written(dealt.join(full, "bucket"), "shared")
+    shared = written(dealt.join(full, "bucket"), "shared", scratch)
 
     wanted = shared.select(F.col("rep").alias("id")).distinct()
-    texts = written(base.join(wanted, "id", "left_semi"), "texts")
+    texts = written(base.join(wanted, "id", "left_semi"), "texts", scratch)
 
     degree = shared.groupBy("rep").agg(F.sum("members").alias("degree"))
     ranked = shared.join(degree, "rep")
@@ -221,30 +233,59 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spokes = shared.join(centre, "bucket").where((F.col("rep") != F.col("centre")) & near)
     pairs = spokes.select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
     both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    first = written(both.select("a", "b", "text_a", "text_b").mapInArrow(vec.tidy(_verifier(k, num, den)), "a long, b long"), "spokes")
+    first = written(both.select("a", "b", "text_a", "text_b").mapInArrow(vec.tidy(_verifier(k, num, den)), "a long, b long"), "spokes", scratch)
 
-    some = components(first, "a", "b")
-    placed = shared.join(some.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.sum("n").alias("held")).where("low <> high")
-    blocks = F.ceil(F.col("held") / BLOCK).cast("int")
-    left = written(placed.join(mixed.select("bucket", blocks.alias("blocks")), "bucket").select("bucket", "rep", "n", "comp", "blocks"), "left")
+    some = components(first, "a", "b", scratch=scratch)
+    placed = shared.join(some.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).select("bucket", "rep", "n", "comp")
+    left = written(_dealt(placed), "left", scratch)
     open_reps = left.select(F.col("rep").alias("id")).distinct()
     sets = texts.join(open_reps, "id", "left_semi").select("id", "text").mapInArrow(vec.tidy(_sets(k)), "id long, shingles binary")
     sets = sets.join(classes.select(F.col("rep").alias("id"), F.col("n").alias("set_n"), "sig", "bands"), "id").where(F.length("shingles") == 8 * F.col("set_n")).withColumnRenamed("id", "rep")
-    left = left.join(sets, "rep").where("n = set_n").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.select("bucket", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), F.col("rep").alias("id"), "n", "comp", "block", "sig", "bands", "shingles")
+    left = left.join(sets, "rep").where("n = set_n").select("bucket", "bi", "bj", F.col("rep").alias("id"), "n", "comp", "block", "sig", "bands", "shingles")
     left = left.repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
-    second = written(left.mapInArrow(vec.tidy(_blocks(threshold, bands * rows, num, den)), "a long, b long"), "rest")
+    second = written(left.mapInArrow(vec.tidy(_blocks(num / den, bands * rows, num, den)), "a long, b long"), "rest", scratch)
 
-    whole = components(first.union(second), "a", "b").withColumnRenamed("node", "rep")
-    groups = classes.select("set_a", "set_b", "n", "rep").join(whole, "rep", "left").select("set_a", "set_b", "n", F.coalesce("component", "rep").alias("group"))
-    out = signed.select("id", "n", "set_a", "set_b").join(groups, ["set_a", "set_b", "n"], "left")
+    whole = components(first.union(second), "a", "b", scratch=scratch).withColumnRenamed("node", "rep")
+    return classes.select("set_a", "set_b", "n", "rep").join(whole, "rep").select("set_a", "set_b", "n", F.col("component").alias("group"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """(id, n_shingles, component_id, kept) for every row of docs.
+
+    Two texts are linked if den * |A & B| >= num * |A | B| for their sets of
+    k-word shingles.  Ids are integers; a column of another type is refused.  Null or
+    empty texts and texts without words have an empty set and are linked with
+    nothing.  Very long texts are read whole, one slice of a batch each.  Rows
+    that share an id are grouped each by its
+    own text; classes with the same smallest id are one node.  A row with a null
+    id joins the group of its equals (component null if all of these have null
+    ids).  An empty table gives no rows; other columns of docs, whatever their
+    names, are not read.
+    """
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} holds no integers: a group is named by its smallest id")
+    spark, scratch = docs.sparkSession, []
+    bands, rows = bands_for(num / den)
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    signed = written(base.mapInArrow(vec.tidy(_signer(k, bands, rows)), "id long, n long, set_a long, set_b long, bands array<long>, sig binary"), "signed")
+
+    # the smallest id of every class that has several rows or is linked, as a table of its own: only the rows' side of the join can be large under one key
+    classes = signed.where("n > 0").groupBy("set_a", "set_b", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    linked = _groups(base, signed, k, num, den, bands, rows, scratch)
+    groups = classes.join(linked, ["set_a", "set_b", "n"], "left").where("copies > 1 or group is not null")
+    groups = written(groups.select("set_a", "set_b", "n", F.coalesce("group", "rep").alias("group")), "groups")
+    remove(spark, scratch)
+    some = signed.where("n > 0").select("id", "n", "set_a", "set_b").join(groups, ["set_a", "set_b", "n"], "left").select("id", "n", "group")
+    out = some.union(signed.where("n = 0").select("id", "n", F.lit(None).cast("long").alias("group")))
     component = F.coalesce("group", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs without the rows whose group has a smaller id; rows that share a kept id all stay."""
+    """docs without the rows whose group has a smaller id; rows that share a kept id all stay.
+
+    All columns stay, whatever their names.  Nulls, empty and very long texts,
+    repeated rows and empty tables: see ``near_duplicates``.
+    """
     groups = near_duplicates(docs, id_col, **options).where("kept").select(F.col(id_col).alias("kept_id")).distinct()
-    return docs.join(groups, F.col(id_col).eqNullSafe(F.col("kept_id")), "left_semi")
+    return docs.alias("d").join(groups.alias("g"), F.col(f"d.{id_col}").eqNullSafe(F.col("g.kept_id")), "left_semi")
