@@ -11,17 +11,20 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
+from pyspark.sql.types import IntegralType
 
 from . import vec
 
 K = 8
 SIZE = 64
 U64 = np.uint64
-_MAX = np.iinfo(np.uint64).max
+_MAX = U64(np.iinfo(np.uint64).max)
+_HIGH, _LOW = U64(0xFFFFFFFF00000000), U64(0xFFFFFFFF)
 _rng = np.random.default_rng(6)
 _ODD = _rng.integers(0, 1 << 63, SIZE, dtype=U64) * U64(2) + U64(1)
 
@@ -63,22 +66,20 @@ def _sketch(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     if not len(h):
         return out
     e = vec.mix(h + _occurrences(h, doc) * U64(0xC2B2AE3D27D4EB4F))
-    bits = U64(max(1, int(len(h) - 1).bit_length()))
-    at = np.arange(len(h), dtype=U64)
-    high = U64(int(_MAX) >> 1 & ~((1 << int(bits)) - 1))
-    low = U64((1 << int(bits)) - 1)
     starts = np.concatenate([[0], np.flatnonzero(doc[1:] != doc[:-1]) + 1])
     some = doc[starts]
+    # the upper half of an element's rank, then its place in its own text: no other text has a say in the order
+    place = np.arange(len(h), dtype=U64) - np.repeat(starts, np.diff(np.concatenate([starts, [len(h)]]))).astype(U64)
+    v = np.empty(len(h), dtype=U64)
     for p in range(SIZE):
-        v = e * _ODD[p]
-        v >>= U64(1)
-        v &= high
-        v |= at
-        first = (np.minimum.reduceat(v, starts) & low).astype(np.int64)
+        np.multiply(e, _ODD[p], out=v)
+        v &= _HIGH
+        v |= place
+        first = (np.minimum.reduceat(v, starts) & _LOW).astype(np.int64) + starts
         v[first] = _MAX
         second = np.minimum.reduceat(v, starts)
         alone = second == _MAX
-        second = np.where(alone, first, (second & low).astype(np.int64))
+        second = np.where(alone, first, (second & _LOW).astype(np.int64) + starts)
         a, b = e[np.minimum(first, second)], e[np.maximum(first, second)]
         out[some, p] = (vec.mix(a * U64(vec.STEP) + np.where(alone, U64(0), b) + U64(p)) >> U64(48)).astype(np.uint16)
     return out
@@ -162,24 +163,31 @@ def _neighbours(batches):
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for every row.
 
-    Rows are ordered by id, then by a hash of the text; null ids come first and
+    Ids are integers; a column of another type is refused.  Rows are ordered by
+    id, then by a hash of the text; null ids come first and
     a null text counts as empty.  The row after the last is the first, so a lone row follows
-    itself.  Empty texts are alike.  The rows are dealt once, by ranges of id;
+    itself; an empty table gives no rows.  Empty texts are alike; a very long text is a slice of its own.
+    Repeated rows follow each other.  The rows are dealt once, by ranges of id, and of the text's hash within an id of very many rows;
     the first row of a range also goes to the range before it.  The driver sees
-    one id for each partition.
+    one id for each partition.  Other columns, whatever their names, are not read.
     """
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} holds no integers: rows are ordered by it")
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     base = base.withColumn("order", F.xxhash64("text"))
-    cuts = docs.select(F.percentile_approx(F.col(id_col).cast("long"), [i / parts for i in range(1, parts)] or [0.5], 100 * parts)).first()[0]
-    cuts = np.unique(np.array(cuts or [], dtype=np.int64))
+    known = F.coalesce("id", F.lit(-(1 << 63)))
+    found = base.select(F.percentile_approx(known, [i / parts for i in range(1, parts)] or [0.5], 100 * parts)).first()[0]
+    cuts = np.sort(np.array(found or [], dtype=np.int64))
 
     @pandas_udf("int")
-    def bucket(ids):
-        return ids.map(lambda x: 0) if not len(cuts) else ids.isna().map({True: 0, False: 1}) * np.searchsorted(cuts, ids.fillna(0).astype("int64"), side="left").astype("int32")
+    def bucket(ids, orders):
+        low, high = (np.searchsorted(cuts, ids.to_numpy(), side=side) for side in ("left", "right"))
+        within = (orders.to_numpy() / 2.0**64 + 0.5).clip(0, 1 - 1e-9)  # an id that is several cuts has several ranges
+        return pd.Series((low + np.floor(within * (high - low))).astype(np.int32))
 
-    dealt = base.withColumn("bucket", bucket("id").cast("int"))
+    dealt = base.withColumn("bucket", bucket(known, F.col("order")))
     low = F.struct(F.col("id").isNotNull().alias("some"), F.coalesce("id", F.lit(0)).alias("id"), "order")
     heads = sorted((r.bucket, tuple(r.head)) for r in dealt.groupBy("bucket").agg(F.min(low).alias("head")).collect())
     before = {b: heads[i - 1][0] for i, (b, _) in enumerate(heads)}

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from samewise.llm import fingerprints as fp
 from samewise.llm import line_dedup, sharding
@@ -139,7 +140,7 @@ def plain_sketch(text):
     e = [int(x) for x in fp.vec.mix(np.array(e, dtype=np.uint64))]
     out = []
     for p, odd in enumerate(fp._ODD.tolist()):
-        chosen = sorted(sorted(range(len(e)), key=lambda i: e[i] * odd & top)[:2])
+        chosen = sorted(sorted(range(len(e)), key=lambda i: ((e[i] * odd & top) >> 32, i))[:2])
         a, b = e[chosen[0]], e[chosen[1]] if len(chosen) > 1 else 0
         out.append(int(fp.vec.mix(np.array([a * fp.vec.STEP + b + p & top], dtype=np.uint64))[0]) >> 48)
     return out
@@ -156,3 +157,22 @@ def test_fingerprints_of_short_texts_are_graded():
     a, b = fp.sketches([t.encode() for t in texts]), fp.sketches([(t[:-1] + "z").encode() for t in texts])
     likes = (a == b).mean(axis=1)  # 16 of 17 k-mers are common, so a pair of common ones is expected in 16 * 15 of 18 * 17 cases
     assert abs(likes.mean() - 0.784) < 0.04 and likes.min() > 0.4 and likes.max() < 1
+
+
+def test_fingerprints_do_not_depend_on_their_slice():
+    rnd = np.random.default_rng(8)
+    texts = ["".join(rnd.choice(list("abcdefgh "), n)).encode() for n in (3, 40, 900)]
+    beside = ["".join(rnd.choice(list("xyz "), n)).encode() for n in (100_000, 5, 30_000)]
+    alone = [fp.sketches([t])[0].tolist() for t in texts]
+    assert alone == fp.sketches([*beside, *texts])[3:].tolist() == fp.sketches([texts[0], beside[0], *texts[1:]])[[0, 2, 3]].tolist()
+
+
+def test_fingerprints_of_an_id_of_many_rows(spark):
+    rows = [(i, f"text number {i}") for i in range(40)] + [(20, f"one of many rows, {i}") for i in range(80)] + [(None, f"no id {i}") for i in range(60)]
+    found = fp.fingerprints(docs(spark, rows)).collect()
+    placed = spark.createDataFrame(rows, "id long, text string").selectExpr("id", "text", "xxhash64(text) as o").collect()
+    ordered = [r.text for r in sorted(placed, key=lambda r: (r.id is not None, r.id or 0, r.o))]
+    expected = Counter(hashlib.sha256((t[: len(t) - len(t) // 4] + u[: len(t) // 4]).encode()).hexdigest() for t, u in zip(ordered, ordered[1:] + ordered[:1]))
+    assert Counter(r.edited_sha256 for r in found) == expected
+    with pytest.raises(TypeError):
+        fp.fingerprints(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
