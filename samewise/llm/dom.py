@@ -54,6 +54,7 @@ _CLOSED_BY = {
     "option": ({"option"}, {"select"}),
 }
 _HOLDS_P = frozenset("td th li dd button".split())
+_HEADING = GROUP_NAMES.index("heading")
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*+>?"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+|(?=>|\Z)))*+)(?:>|\Z)"
@@ -80,13 +81,43 @@ class Node:
             self.attrs, self.hidden = "", attrs.strip() == "hidden"
 
 
+class Open:
+    """Names of what is open, and where each last stands; every step takes the same time at any depth."""
+
+    __slots__ = ("names", "places")
+
+    def __init__(self, *names: str):
+        self.names: list[str] = []
+        self.places: dict[str, list[int]] = {}
+        for name in names:
+            self.push(name)
+
+    def push(self, name: str) -> None:
+        self.places.setdefault(name, []).append(len(self.names))
+        self.names.append(name)
+
+    def cut(self, size: int) -> None:
+        """Closes all from place ``size`` on."""
+        while len(self.names) > size:
+            self.places[self.names.pop()].pop()
+
+    def last(self, *names: str) -> int:
+        """The innermost place of any of the names, -1 without one."""
+        return max((held[-1] for n in names if (held := self.places.get(n))), default=-1)
+
+
 def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
-    """(nodes, runs): nodes with parents before children, and (node, text) runs in page order."""
+    """(nodes, runs): nodes with parents before children, and (node, text) runs in page order.
+
+    The time is in proportion to the length of html, however its elements are nested or left open.
+    """
     nodes = [Node("html", -1, "")]
     stack = [0]
+    names = Open("html")
+    paragraph = [-1]  # for each open node, the paragraph that a block beginning in it ends
     runs: list[tuple[int, str]] = []
     pending: list[str] = []
-    skip: list[str] = []  # an open element without text of the page, and what is open in it
+    skip = Open()  # an open element without text of the page, and what is open in it
     parted = False
     links = linked = 0
     at = 0
@@ -94,27 +125,21 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
     def staying(name: str) -> int:
         """How many of the open nodes stay open as a block begins."""
         size = len(stack)
-        if name != "head" and nodes[stack[-1]].name == "head":
+        if name != "head" and names.names[-1] == "head":
             size -= 1
-        if name not in INLINE_FORM:
-            for depth in range(size - 1, 0, -1):  # a block ends an open paragraph
-                held = nodes[stack[depth]].name
-                if held == "p":
-                    size = depth
-                    break
-                if held in _HOLDS_P or BLOCKS[held] not in (GROUP_NAMES.index("heading"),):
-                    break
+        if name not in INLINE_FORM and paragraph[size - 1] > 0:
+            size = paragraph[size - 1]
         if name in _CLOSED_BY:
             ended, bound = _CLOSED_BY[name]
-            for depth in range(size - 1, 0, -1):
-                held = nodes[stack[depth]].name
-                if held in bound:
-                    break
-                if held in ended:
-                    size = depth
-                    break
+            place = names.last(*ended)
+            if place > max(0, names.last(*bound)):
+                size = min(size, place)
         return size
 
+    def close(size: int) -> None:
+        del stack[size:], paragraph[size:]
+        names.cut(size)
+
     def flush() -> None:
         nonlocal linked
         if pending:
@@ -131,10 +156,10 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
     while True:
         m = _TAG.search(html, at)
         if m is None:
-            if not skip:
+            if not skip.names:
                 pending.append(html[at:])
             break
-        if m.start() > at and not skip:
+        if m.start() > at and not skip.names:
             text = html[at : m.start()]
             pending.append(text)
             if links:
@@ -142,7 +167,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
         at = m.end()
         name = m["name"] or m["name2"]
         if name is None:
-            if m["cdata"] and not skip:
+            if m["cdata"] and not skip.names:
                 pending.append(m["cdata"].replace("&", "&amp;"))
             continue
         name = name.lower()
@@ -153,57 +178,54 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 end = _ENDS[name].search(html, at)
                 at = end.end() if end else len(html)
             continue
-        if skip and skip[-1] == "svg" and not closing and (name in BLOCKS or name in _NOT_SVG):
-            skip.pop()
-        if name == "math" and closing and skip and skip[0].startswith("annotation"):
-            skip.clear()
-        if name in SKIPPED or skip and name in _HTML_IN_SVG:
+        if skip.names and skip.names[-1] == "svg" and not closing and (name in BLOCKS or name in _NOT_SVG):
+            skip.cut(len(skip.names) - 1)
+        if name == "math" and closing and skip.names and skip.names[0].startswith("annotation"):
+            skip.cut(0)
+        if name in SKIPPED or skip.names and name in _HTML_IN_SVG:
             if closing:
-                if name in skip:
-                    del skip[len(skip) - 1 - skip[::-1].index(name) :]
+                if (place := skip.last(name)) >= 0:
+                    skip.cut(place)
             elif not attrs.endswith("/"):
-                if not skip:
+                if not skip.names:
                     following = _NEXT[name].search(html, at) if name in _PARTED else None
                     parted = bool(following and following[1])
-                skip.append(name)
+                skip.push(name)
             continue
         if name == "a":
             links = max(0, links - 1) if closing else links + 1
             continue
         if name in ("br", "hr"):
-            if not skip:
+            if not skip.names:
                 flush()
             continue
         if name not in BLOCKS:
             continue
-        if skip:
-            if closing and name in skip:
-                del skip[len(skip) - 1 - skip[::-1].index(name) :]
+        if skip.names:
+            if closing and (place := skip.last(name)) >= 0:
+                skip.cut(place)
                 continue
-            if closing and (name in ("html", "body") or all(nodes[i].name != name for i in stack)):
+            if closing and (name in ("html", "body") or names.last(name) < 0):
                 continue
-            if not closing and (parted or not _HTML_IN_SVG.isdisjoint(skip) or name != "body" and staying(name) == len(stack)):
+            if not closing and (parted or skip.last(*_HTML_IN_SVG) >= 0 or name != "body" and staying(name) == len(stack)):
                 if not attrs.endswith("/"):
-                    skip.append(name)
+                    skip.push(name)
                 continue
-            skip.clear()  # the block around it ends
+            skip.cut(0)  # the block around it ends
         flush()
         links = 0
         if closing:
-            if name in ("html", "body"):
-                continue
-            for depth in range(len(stack) - 1, 0, -1):
-                if nodes[stack[depth]].name == name:
-                    del stack[depth:]
-                    break
-            continue
-        if name == "html":
+            if name not in ("html", "body") and (place := names.last(name)) > 0:
+                close(place)
             continue
-        if name == "body" and any(nodes[i].name == "body" for i in stack):
+        if name == "html" or name == "body" and names.last("body") >= 0:
             continue
-        del stack[staying(name) :]
+        close(staying(name))
         nodes.append(Node(name, stack[-1], attrs))
         if not attrs.endswith("/"):
+            here = len(stack)
+            paragraph.append(here if name == "p" else paragraph[-1] if name not in _HOLDS_P and BLOCKS[name] == _HEADING else -1)
             stack.append(len(nodes) - 1)
+            names.push(name)
     flush()
     return nodes, runs

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import time
 import zlib
+from html import unescape
 
 import numpy as np
 import pytest
@@ -11,6 +13,7 @@ import pytest
 from samewise.llm import extract as ex
 from samewise.llm import quality as ql
 from samewise.llm import toxicity as tx
+from samewise.llm.dom import parse
 from samewise.llm.html_pages import labelled_pages
 
 from .helpers import AWKWARD, docs
@@ -141,9 +144,27 @@ def test_extraction_edges(spark):
     assert ex.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def article(html):
+    """The article of a page as its markup says: blocks end at p, h1 and br."""
+    inside = re.search(r"<article>(.*?)</article>", html, re.S)[1]
+    blocks = re.split(r"</?(?:p|h1|h2|br|div|ul|li)\b[^>]*>", inside)
+    plain = [" ".join(unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in blocks]
+    return "\n".join(b for b in plain if b)
+
+
 def test_public_pages_give_their_articles(spark, data):
-    for r in ex.extract(spark.read.parquet(f"{data}/pages.parquet")).collect():
-        assert r.text and "©" not in r.text
+    pages = spark.read.parquet(f"{data}/pages.parquet")
+    expected = {r.page_id: article(r.html) for r in pages.collect()}
+    found = {r.page_id: r for r in ex.extract(pages).collect()}
+    assert {i: r.text for i, r in found.items()} == expected
+    assert all(r.n_chars == len(r.text) for r in found.values())
+
+
+@pytest.mark.parametrize("html", ["<h1>" * 50_000 + "<div></div>" * 50_000, "<div>" * 50_000 + "</section>" * 50_000, "<svg>" + "<desc>" * 50_000 + "<div></x>" * 50_000, "<li><div>" * 50_000, "<td>" * 50_000 + "<tr>" * 50_000, "<object><div>" * 50_000, "<h1><p>" * 50_000])
+def test_parsing_takes_time_in_proportion(html):
+    began = time.process_time()
+    parse(html)
+    assert time.process_time() - began < 4
 
 
 def run_texts(html):
