@@ -1,8 +1,8 @@
 """A forgiving block-level parser for HTML.
 
 Only block elements become nodes; inline markup is dropped and its text belongs
-to the block around it.  Every run of inline text ends at a block boundary or at
-a line break.  Elements that hold no text of the page are skipped: those of raw
+to the block around it, a line break (br) is white space in it.  Every run of inline
+text ends at a block boundary or a rule (hr).  Elements that hold no text of the page are skipped: those of raw
 text up to their end tag, as browsers do; others are parsed, and end with their
 end tag or with the block around them, so one left open hides no more than that.
 """
@@ -195,7 +195,11 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if name == "a":
             links = max(0, links - 1) if closing else links + 1
             continue
-        if name in ("br", "hr"):
+        if name == "br":  # white space within its block
+            if not skip.names:
+                pending.append("\n")
+            continue
+        if name == "hr":
             if not skip.names:
                 flush()
             continue

@@ -190,7 +190,8 @@ def extract(pages: DataFrame, model: Model | None = None, id_col: str = "page_id
 
     Null or empty html, and pages without content, give an empty text.  Repeated
     rows give repeated results; an empty table gives no rows.  Very long pages are
-    read whole, in time in proportion to their length.  A line break (br) ends a block.  Columns
+    read whole, in time in proportion to their length.  A line break (br) is white
+    space within its block.  Columns
     of other names are not read, whatever they are.  Pages are not shuffled.
     """
     held = model or fit(labelled_pages(TRAIN_PAGES))

@@ -145,9 +145,9 @@ def test_extraction_edges(spark):
 
 
 def article(html):
-    """The article of a page as its markup says: blocks end at p, h1 and br."""
-    inside = re.search(r"<article>(.*?)</article>", html, re.S)[1]
-    blocks = re.split(r"</?(?:p|h1|h2|br|div|ul|li)\b[^>]*>", inside)
+    """The article of a page as its markup says: blocks end at p, h1 and the like; br is white space."""
+    inside = re.search(r"<article>(.*?)</article>", html, re.S)[1].replace("<br>", " ")
+    blocks = re.split(r"</?(?:p|h1|h2|div|ul|li)\b[^>]*>", inside)
     plain = [" ".join(unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in blocks]
     return "\n".join(b for b in plain if b)
 
@@ -160,6 +160,11 @@ def test_public_pages_give_their_articles(spark, data):
     assert all(r.n_chars == len(r.text) for r in found.values())
 
 
+def test_line_breaks_are_white_space(model):
+    page = "<body><nav><ul><li><a href=#>x</a></li></ul></nav><article><h1>A title of words</h1><p>One line of some length,<br>and another <br/> one of the same paragraph.</p><hr><p>The next paragraph is here, with words.</p></article></body>"
+    assert model.text(page) == "A title of words\nOne line of some length, and another one of the same paragraph.\nThe next paragraph is here, with words."
+
+
 @pytest.mark.parametrize("html", ["<h1>" * 50_000 + "<div></div>" * 50_000, "<div>" * 50_000 + "</section>" * 50_000, "<svg>" + "<desc>" * 50_000 + "<div></x>" * 50_000, "<li><div>" * 50_000, "<td>" * 50_000 + "<tr>" * 50_000, "<object><div>" * 50_000, "<h1><p>" * 50_000])
 def test_parsing_takes_time_in_proportion(html):
     began = time.process_time()
