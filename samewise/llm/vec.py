@@ -76,6 +76,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def signed(x: np.ndarray) -> pa.Array:
+    """Hashes as a column of long."""
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; nulls count as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import sentencepiece as library
+from pyspark.sql import functions as F
 
 from samewise.llm import decontaminate as dc
 from samewise.llm import licenses
@@ -54,12 +55,15 @@ def test_tiling_equals_plain_tiling(spark):
                 if n >= 0.6 * len(w):
                     expected.add((d, i, n, len(w)))
     bench = spark.createDataFrame(items, BENCH)
-    for block in (dc.BLOCK_BYTES, 100):  # one pass and many give the same
-        found = dc.contaminated(docs(spark, rows), bench, block_bytes=block).collect()
-        assert {(r.doc_id, r.item_id, r.words_marked, r.words) for r in found} == expected
-        kept = dc.without_leaks(docs(spark, rows), bench, block_bytes=block)
-        assert {r.doc_id for r in kept.collect()} == {d for d, _ in rows} - {d for d, *_ in expected}
-        assert kept.columns == docs(spark, []).columns
+    found = dc.contaminated(docs(spark, rows), bench).collect()
+    assert {(r.doc_id, r.item_id, r.words_marked, r.words) for r in found} == expected
+    kept = dc.without_leaks(docs(spark, rows), bench)
+    assert {r.doc_id for r in kept.collect()} == {d for d, _ in rows} - {d for d, *_ in expected}
+    assert kept.columns == docs(spark, []).columns
+    clashing = docs(spark, rows).withColumnsRenamed({"lang": "g1", "source": "f", "tag": "i2"})
+    assert dc.without_leaks(clashing, bench).count() == kept.count()
+    named = docs(spark, rows).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    assert {(r.doc_id, r.item_id) for r in dc.contaminated(named, bench.withColumn("item_id", F.col("item_id").cast("string"))).collect()} == {(f"d{d}", str(i)) for d, i, *_ in expected}
 
 
 def test_decontamination_edges(spark, data):
