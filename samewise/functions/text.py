@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 from pyspark.sql.types import StringType
@@ -21,10 +22,32 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with more columns, each computed once.
+
+    The condition always holds, but as it is not deterministic the optimiser copies no
+    column into the filters and projections above, where each use would be computed anew.
+    """
+    return df.select("*", *(F.when(F.monotonically_increasing_id() >= 0, c).alias(k) for k, c in columns.items()))
+
+
+_UNIFIED = str.maketrans(lx.UNIFIED_FROM, lx.UNIFIED_TO)
+_DECORATION = re.compile(lx.DECORATION)
+_PHRASE = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(lx.PHRASES, key=len, reverse=True))) + r")(?!\w)")
+_LETTER_V = re.compile(rf"{lx.LETTER_V}(?=\d)")
+
+
+def _unified(text: str) -> str:
+    """Compatibility form, one kind of dash, quote, digit and Arabic letter; Arabic spellings of Latin names rewritten."""
+    plain = _DECORATION.sub("", unicodedata.normalize("NFKC", text).translate(_UNIFIED))
+    plain = _PHRASE.sub(lambda m: lx.PHRASES[m[0]], " ".join(plain.split()))
+    return _LETTER_V.sub("v", plain)
+
+
 @pandas_udf(StringType())
-def nfkc(values: pd.Series) -> pd.Series:
-    """Unicode compatibility form; Spark has no such function.  ASCII passes through."""
-    return values.map(lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFKC", v))
+def unified(values: pd.Series) -> pd.Series:
+    """Spark has no compatibility form, and so many replacements would each be an expression; nulls pass through."""
+    return values.map(lambda v: None if v is None else _unified(v))
 
 
 def lookup(words: dict) -> Column:
@@ -43,15 +66,15 @@ def blank(c: Column) -> Column:
 
 
 def clean(c: Column, cap: int = NAME_CAP, ascii_only: bool = False) -> Column:
-    """The first cap characters with dashes, quotes, digits and Arabic letters unified and Arabic spellings of Latin names rewritten."""
+    """The first cap characters with dashes, quotes, digits and Arabic letters unified and Arabic spellings of Latin names rewritten.
+
+    None of these steps changes ASCII text, so rows of it skip them.
+    """
     s = F.substring(F.coalesce(c.cast("string"), F.lit("")), 1, cap)
     if ascii_only:
         return squeeze(s)
-    s = F.translate(nfkc(s), lx.UNIFIED_FROM, lx.UNIFIED_TO)
-    s = squeeze(F.regexp_replace(s, lx.DECORATION, ""))
-    for phrase in sorted(lx.PHRASES, key=len, reverse=True):
-        s = F.regexp_replace(s, rf"(?U)(?<!\w){phrase}(?!\w)", lx.PHRASES[phrase])
-    return F.regexp_replace(s, rf"(?U){lx.LETTER_V}(?=\d)", "v")
+    wide = F.octet_length(s) != F.char_length(s)
+    return F.when(wide, unified(F.when(wide, s))).otherwise(squeeze(s))
 
 
 def fold(c: Column) -> Column:
@@ -61,8 +84,11 @@ def fold(c: Column) -> Column:
 
 def tidy(c: Column) -> Column:
     """Abbreviations written out; only letters, digits and dots inside numbers stay."""
-    for short in sorted(lx.ABBREVIATIONS, key=len, reverse=True):
-        c = F.regexp_replace(c, rf"(?<![a-z0-9]){short}(?![a-z0-9])", lx.ABBREVIATIONS[short])
+    longest = sorted(lx.ABBREVIATIONS, key=len, reverse=True)
+    whole = c
+    for short in longest:
+        whole = F.regexp_replace(whole, rf"(?<![a-z0-9]){short}(?![a-z0-9])", lx.ABBREVIATIONS[short])
+    c = F.when(c.rlike(rf"(?<![a-z0-9])(?:{'|'.join(longest)})(?![a-z0-9])"), whole).otherwise(c)
     c = F.regexp_replace(c, r"(?U)[^\w.]+|_", " ")
     return squeeze(F.regexp_replace(c, r"(?U)(?<!\d)\.|\.(?!\d)", " "))
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .compare import READ, any_conflict, facts_of
+from .compare import READ, facts_of, held_rules
 from .components import components
 
 STRENGTH = {"reviewed": 3, "high": 2, "medium": 1}
@@ -32,7 +32,7 @@ def signature_conflicts(placed: DataFrame) -> DataFrame:
     """(component, s, t) for the signatures of a component that are in hard conflict, s < t; from placed(component, sig, norm)."""
     one = placed.groupBy("component", "sig").agg(F.first("norm").alias("norm")).withColumn("norm", facts_of(F.col("norm")))
     left, right = one.select("component", F.col("sig").alias("s"), F.col("norm").alias("x")), one.select("component", F.col("sig").alias("t"), F.col("norm").alias("y"))
-    return left.join(right, "component").where("s < t").where(any_conflict(F.col("x"), F.col("y"))).select("component", "s", "t")
+    return left.join(right, "component").where("s < t").where(held_rules(F.col("x"), F.col("y")) != 0).select("component", "s", "t")
 
 
 def _merge(rows: list[tuple]) -> list[tuple]:

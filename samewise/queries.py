@@ -309,8 +309,8 @@ def _nouns(items: DataFrame) -> DataFrame:
 def conflict_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _catalogue_items(spark, sf_dir)
     facts = compare.compared(_nouns(items), items)
-    held = compare.conflicts(F.col("x"), F.col("y"))
-    return facts.select("a", "b", F.array_join(F.transform(held, lambda c: c["code"]), ",").alias("codes"))
+    held = tx.computed(facts, {"all_held": compare.held_rules(F.col("x"), F.col("y"))}).withColumn("held", compare.settled(F.col("all_held")))
+    return held.select("a", "b", F.array_join(compare.conflict_codes(F.col("held")), ",").alias("codes"))
 
 
 _NEAR = _FACTS.replace("@JOIN@", "x.noun = y.noun and x.p_type = y.p_type and x.size // 4 = y.size // 4")
