@@ -124,8 +124,10 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, id_co
     """(id, license, containment, first_word, end_word) for every place in a document that holds a template at or above the containment.
 
     Words are ASCII letters and digits and other bytes of UTF-8, lower-cased.
-    Null, empty and shorter texts match nothing; repeated rows give repeated
-    results.  The templates are a fixed list, so what is shipped does not grow.
+    Null, empty and shorter texts match nothing; very long texts are scanned whole;
+    repeated rows give repeated results; an empty table gives no rows.  Ids keep their type; other
+    columns, whatever their names, are not read.  The templates are a fixed list, so what
+    is shipped does not grow; a user's own replace it.
     """
     held = TEMPLATES if templates is None else templates
 
@@ -146,8 +148,8 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, id_co
                     for i, part, low, high in t.scan(h[a : b - k + 1], at[s.doc[at] == d] - a, containment):
                         rows.append((ids[s.first + int(d)].as_py(), t.names[i], part, low, high))
                 if rows:
-                    kinds = [pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64()]
+                    kinds = [ids.type, pa.string(), pa.float64(), pa.int64(), pa.int64()]
                     yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=[id_col, "license", "containment", "first_word", "end_word"])
 
-    base = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("text"))
-    return base.mapInArrow(scan, f"`{id_col}` long, license string, containment double, first_word long, end_word long")
+    base = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
+    return base.mapInArrow(scan, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, license string, containment double, first_word long, end_word long")

@@ -197,10 +197,13 @@ def fit(docs: DataFrame, text_col: str = "text", rows: int = TRAIN_ROWS) -> Scor
     good, _, _ = estimate(patterns, counts)
     known = dict(zip(patterns.tolist(), good.tolist(), strict=True))
     # the smallest hashes among all texts; whole texts are fetched for these alone
-    hashed = texts.select("text", F.xxhash64("text").alias("h"))
-    sizes = hashed.groupBy("h").agg(F.max(F.coalesce(F.octet_length("text"), F.lit(0))).alias("n")).orderBy("h").limit(rows).collect()
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    hashed = texts.where(size <= TRAIN_BYTES).select("text", F.xxhash64("text").alias("h"))
+    sizes = hashed.groupBy("h").agg(F.max(size).alias("n")).orderBy("h").limit(rows).collect()
+    if not sizes:
+        return Scorer(patterns, good, np.zeros(BUCKETS, dtype=np.float32))
     fits = int(np.searchsorted(np.cumsum([r.n for r in sizes]), TRAIN_BYTES, side="right"))
-    top = sizes[max(0, fits - 1)].h
+    top = sizes[fits - 1].h
     picked = [r.text for r in hashed.where(F.col("h") <= top).dropDuplicates(["h"]).select("text").collect()]
     x, y = [], []
     for _, _, f in facts(pa.array(picked, pa.large_string())):
@@ -212,7 +215,9 @@ def fit(docs: DataFrame, text_col: str = "text", rows: int = TRAIN_ROWS) -> Scor
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS, at: float = KEEP_AT) -> DataFrame:
     """(id, votes, posterior, score, predicted) for every row of docs; score is the probability of good text.
 
-    A null text counts as empty; repeated rows score alike.  votes is a number
+    A null text counts as empty; repeated rows score alike.  Very long texts are scored
+    whole, but none beyond TRAIN_BYTES trains the scorer.  An empty table gives no rows; other
+    columns, whatever their names, are not read.  votes is a number
     of base 3 with a digit for each labeller.
     """
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, text_col, rows))  # bounded by buckets and labellers
@@ -228,7 +233,10 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row
 
 
 def accepted(docs: DataFrame, text_col: str = "text", rows: int = TRAIN_ROWS, at: float = KEEP_AT) -> DataFrame:
-    """docs without the rows that score below ``at``; all columns stay."""
+    """docs without the rows that score below ``at``; all columns stay, whatever their names.
+
+    Nulls, repeated rows, very long texts and empty tables: as in ``quality``.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, text_col, rows))
     column = docs.columns.index(text_col)
 

@@ -281,7 +281,9 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id"
     """(id, n_tokens, ids, exact) for every row; exact tells whether decoding gives the text back.
 
     Null and empty texts have no ids.  Texts with the space mark itself decode
-    to a space there and are not exact.  Rows are not shuffled.
+    to a space there and are not exact.  Very long texts are encoded whole.  Repeated rows give
+    repeated results; an empty table gives no rows; other columns, whatever their names,
+    are not read.  Rows are not shuffled.
     """
     sent = docs.sparkSession.sparkContext.broadcast(pieces or Pieces.load())
 

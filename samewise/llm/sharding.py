@@ -51,8 +51,12 @@ def shard(docs: DataFrame, shards: int = 24, key_col: str = "doc_id", text_col:
 
     The key is hashed by xxhash64, so keys of any type do; all null keys go to
     one shard.  A null text has no bytes: size 8 and checksum 0, as an empty
-    one.  Rows with one key lie in one shard; repeated rows take a slot each.
+    one; very long texts are read where they lie.  Rows with one key lie in one
+    shard; repeated rows take a slot each.  An empty table gives no rows.  A key column may not be
+    named as one of the other results; further columns, whatever their names, are not read.
     """
+    if key_col in ("size", "text_crc32", "law", "shard", "slot", "grown_shard"):
+        raise ValueError(f"a result has the name of the key column, {key_col}")
     data = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.col(key_col), (F.octet_length(data) + ROW_BYTES).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), F.xxhash64(F.col(key_col)).alias("_key"))
     rows = rows.select(key_col, "size", "text_crc32", jump_shard(F.col("_key"), shards).alias("shard"), jump_shard(F.col("_key"), shards + 1).alias("grown_shard"))
