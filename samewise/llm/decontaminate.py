@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import grouped
+from ..sources.tables import written
 from . import vec
 
 K = 5
@@ -161,7 +162,9 @@ def _leaks(docs: DataFrame, items: DataFrame, k: int, coverage: float) -> DataFr
     hits = docs.select("g1", "g2", "text").mapInArrow(vec.tidy(scan), _WINDOW)
     both = hits.join(seeds, ["h", "length"]).select("g1", "g2", "i1", "i2", "size", "pos", "at")
     dealt = both.repartition("g1", "g2", "i1", "i2").sortWithinPartitions("g1", "g2", "i1", "i2")
-    return dealt.mapInArrow(vec.tidy(_tiled(k, coverage)), "g1 long, g2 long, i1 long, i2 long, coverage double, words_marked long, words long, tiles long")
+    found = dealt.mapInArrow(vec.tidy(_tiled(k, coverage)), "g1 long, g2 long, i1 long, i2 long, coverage double, words_marked long, words long, tiles long")
+    # as a table its size is known, so few leaks are broadcast and the documents are not shuffled to be joined with them
+    return written(found, "leaks")
 
 
 def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", k: int = K, coverage: float = COVERAGE) -> DataFrame:
