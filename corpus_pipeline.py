@@ -1,4 +1,9 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again.
+
+Every stage takes null and empty texts, texts of any length, repeated rows, empty
+tables and further columns of any name: what it does with them is stated by the operator
+it calls.  Ids are integers or null.  All stages but the last return the columns of their input.
+"""
 
 from __future__ import annotations
 
