@@ -5,6 +5,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from samewise.llm import near_dedup, vec
 
@@ -97,3 +98,23 @@ def test_words_do_not_depend_on_slices():
     long = "ab cd " * 300_000
     a = next(vec.slices(pa.array([long]))).words
     assert len(a) == 600_000 and len(np.unique(a)) == 2
+
+
+def test_names_and_types_of_columns(spark):
+    rows = [(1, "one two three four five six seven"), (2, "one two three four five six seven"), (3, None)]
+    clashing = docs(spark, rows).withColumnsRenamed({"lang": "kept_id", "source": "group"})
+    kept = near_dedup.keep_one(clashing)
+    assert kept.columns == clashing.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+    with pytest.raises(TypeError):
+        near_dedup.near_duplicates(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def test_strays_do_not_multiply_the_copies(spark):
+    members = [(7, i, 4000, 0) for i in range(1000)] + [(7, 5000, 4000, 5000)]  # eight blocks of one component, and one stray
+    placed = spark.createDataFrame(members, "bucket long, rep long, n long, comp long")
+    dealt = near_dedup._dealt(placed).collect()
+    copies = sum(r.rep < 1000 for r in dealt)
+    blocks = {r.block for r in dealt if r.rep < 1000}
+    assert copies == 1000 and len(blocks) == 8 and all(r.block < 0 for r in dealt if r.rep < 1000)
+    assert {(r.bi, r.bj) for r in dealt if r.rep == 5000} == {(b, 0) for b in blocks} | {(0, 0)}
+    assert near_dedup._dealt(placed.where("comp = 0")).count() == 0
