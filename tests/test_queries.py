@@ -55,3 +55,13 @@ def test_registered_queries_normalise_unicode(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(1, "ｒｅｄ ｂｏｌｔ")], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
     found = entry.queries()["dictionary_types"](spark, str(tmp_path)).first()
     assert (found.types, found.colours) == ("bolt", "red")
+
+
+UNFOLDED = "verdict_ladder".split()
+
+
+@pytest.mark.parametrize("name", UNFOLDED)
+def test_pairs_unfold_after_judging(spark, data, name):
+    """Pairs come from chunks of rows with one text, which are judged before they unfold."""
+    plan = entry.queries()[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode(ys" in plan
