@@ -57,7 +57,7 @@ def test_registered_queries_normalise_unicode(spark, tmp_path, monkeypatch):
     assert (found.types, found.colours) == ("bolt", "red")
 
 
-UNFOLDED = "verdict_ladder".split()
+UNFOLDED = "conflict_codes verdict_ladder lookalike_pairs".split()
 
 
 @pytest.mark.parametrize("name", UNFOLDED)
