@@ -161,12 +161,17 @@ def labels(groups: DataFrame) -> DataFrame:
     return dealt.join(F.broadcast(offset), "part").select("cluster", F.concat(F.lit("G-"), padded).alias("label"))  # offset: a row for each part
 
 
+def best_between(placed: DataFrame) -> DataFrame:
+    """The most alike of the pairs(a, b, score, ca, cb) between any two clusters ca and cb; pairs inside one are left out."""
+    rank = F.row_number().over(Window.partitionBy(F.least("ca", "cb"), F.greatest("ca", "cb")).orderBy(F.desc("score"), "a", "b"))
+    return placed.where("ca <> cb").withColumn("rank", rank).where("rank = 1").drop("rank")
+
+
 def one_per_cluster_pair(pairs: DataFrame, members: DataFrame, most: int | None = None) -> DataFrame:
     """The most alike pair between any two clusters (rows outside groups are their own); pairs inside one are left out."""
     place = members.select(F.col("row").alias("at"), "cluster")
     a, b = place.select(F.col("at").alias("a"), F.col("cluster").alias("ca")), place.select(F.col("at").alias("b"), F.col("cluster").alias("cb"))
-    full = pairs.join(a, "a", "left").join(b, "b", "left").withColumns({"ca": F.coalesce("ca", F.col("a").cast("long")), "cb": F.coalesce("cb", F.col("b").cast("long"))}).where("ca <> cb")
-    rank = F.row_number().over(Window.partitionBy(F.least("ca", "cb"), F.greatest("ca", "cb")).orderBy(F.desc("score"), "a", "b"))
-    best = full.withColumn("rank", rank).where("rank = 1").select(*pairs.columns)
+    full = pairs.join(a, "a", "left").join(b, "b", "left").withColumns({"ca": F.coalesce("ca", F.col("a").cast("long")), "cb": F.coalesce("cb", F.col("b").cast("long"))})
+    best = best_between(full).select(*pairs.columns)
     return best.orderBy(F.desc("score"), "a", "b").limit(most) if most else best
 

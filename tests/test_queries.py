@@ -57,7 +57,7 @@ def test_registered_queries_normalise_unicode(spark, tmp_path, monkeypatch):
     assert (found.types, found.colours) == ("bolt", "red")
 
 
-UNFOLDED = "conflict_codes override_join verdict_ladder lookalike_pairs".split()
+UNFOLDED = "conflict_codes one_per_cluster_pair override_join verdict_ladder lookalike_pairs".split()
 
 
 @pytest.mark.parametrize("name", UNFOLDED)
