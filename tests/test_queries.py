@@ -57,7 +57,7 @@ def test_registered_queries_normalise_unicode(spark, tmp_path, monkeypatch):
     assert (found.types, found.colours) == ("bolt", "red")
 
 
-UNFOLDED = "conflict_codes name_similarity one_per_cluster_pair override_join unsure_topk verdict_ladder cache_probe lookalike_pairs wrong_and_missed".split()
+UNFOLDED = "conflict_codes name_similarity one_per_cluster_pair override_join unsure_topk verdict_ladder cache_probe lookalike_pairs pairs_tagged wrong_and_missed".split()
 
 
 @pytest.mark.parametrize("name", UNFOLDED)
