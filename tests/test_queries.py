@@ -72,6 +72,21 @@ def test_pairs_unfold_after_judging(spark, data, name):
     assert "Generate explode(ys" in plan
 
 
+@pytest.mark.parametrize("name", ["lookalike_pairs", "conflict_codes"])
+def test_nouns_of_names_with_any_number_of_words(spark, tmp_path, name):
+    """Noun, type and size are those of part, however many words stand before and after the size."""
+    names, types = ["ring", "old ring", "old ring wide", "wide old big ring"], ["LARGE", "LARGE OVAL", "LARGE ROUND", "Large"]
+    rows = [(i, names[i % 4], f"Brand#{i // 32 % 2}", types[i // 4 % 4], (1, 2, 4, 21, 17)[i % 5], 900.0) for i in range(160)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(1, 2.0)], "l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    for t in ("part", "lineitem"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    df = entry.queries()[name](spark, str(tmp_path))
+    expected = con.execute(f"select {', '.join(df.columns)} from ({entry.oracle_sql()[name]})").fetchall()
+    assert sorted(tuple(map(shown, r)) for r in df.collect()) == sorted(tuple(map(shown, r)) for r in expected) != []
+
+
 def test_groups_of_chunks_are_those_of_pairs():
     rng = random.Random(5)
     grouped = 0
